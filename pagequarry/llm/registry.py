@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import bpe
+from pagequarry.llm import bpe, mixing, quality_mil, secrets, simhash
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op5_simhash": simhash.op5_simhash,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_quality_mil": quality_mil.op8_quality_mil,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mixing": mixing.OP10_SQL,
+}
