@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import bpe, mixing, quality_mil, secrets, simhash
+from pagequarry.llm import bpe, mixing, quality_mil, quality_rules, secrets, simhash, token_files
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_simhash": simhash.op5_simhash,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_secrets": secrets.op7_secrets,
     "op8_quality_mil": quality_mil.op8_quality_mil,
+    "op9_token_files": token_files.op9_token_files,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
