@@ -65,7 +65,7 @@ def publish(filesystem, path: str, write: Callable) -> None:
     """write(stream) to a name of its own, then rename: a lost or doubled task never leaves half a file under path."""
     filesystem.create_dir(posixpath.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with filesystem.open_output_stream(part) as out:
+    with filesystem.open_output_stream(part, compression=None) as out:
         write(out)
     filesystem.move(part, path)
 
