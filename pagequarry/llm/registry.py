@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import bpe, mixing, quality_mil, quality_rules, secrets, simhash, token_files, warc
+from pagequarry.llm import ann, bpe, mixing, quality_mil, quality_rules, secrets, simhash, token_files, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_warc": warc.op3_warc,
+    "op4_neighbours": ann.op4_neighbours,
     "op5_simhash": simhash.op5_simhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_secrets": secrets.op7_secrets,
