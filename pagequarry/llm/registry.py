@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagequarry.llm import ann, bpe, mixing, quality_mil, quality_rules, secrets, simhash, token_files, warc
+from pagequarry.llm import ann, bpe, mixing, passages, quality_mil, quality_rules, secrets, simhash, token_files, warc
 
 QUERIES = {
+    "op1_passages": passages.op1_passages,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_warc": warc.op3_warc,
     "op4_neighbours": ann.op4_neighbours,
