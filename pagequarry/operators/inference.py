@@ -138,9 +138,10 @@ def recognise(crops: DataFrame, load: Callable[[], Recognizer], batch: int = REC
     return found.withColumn("text", normalise(F.col("text"))) if normalise else found
 
 
-def crop_images(boxes: DataFrame, images: DataFrame, keys: list[str], pad_ratio: float | None = None) -> DataFrame:
-    """Crops (x0, y0, x1, y1 in pixels) of images, joined by image_id and cut in Arrow batches; with pad_ratio, white rows are added."""
-    joined = boxes.select(*keys, "x0", "y0", "x1", "y1").join(images.select("image_id", F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("n_channels").alias("_c"), "data"), "image_id")
+def crop_images(boxes: DataFrame, images: DataFrame, keys: list[str], pad_ratio: float | None = None, on: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Crops (x0, y0, x1, y1 in pixels) of images or of other crops, joined by `on` and cut in Arrow batches; with pad_ratio, white rows are added."""
+    channels = F.col("n_channels") if "n_channels" in images.columns else F.lit(3)
+    joined = boxes.select(*keys, "x0", "y0", "x1", "y1").join(images.select(*on, F.col("height").alias("_h"), F.col("width").alias("_w"), channels.alias("_c"), "data"), list(on))
     out = T.StructType([*boxes.select(*keys).schema.fields, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,9 +158,10 @@ def crop_images(boxes: DataFrame, images: DataFrame, keys: list[str], pad_ratio:
     return joined.mapInPandas(run, out)
 
 
-def rotated_crops(quads: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
-    """Upright crops of quads of images (or of crops with the same columns), joined by image_id."""
-    joined = quads.select(*keys, "quad").join(images.select("image_id", F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("n_channels").alias("_c"), "data"), "image_id")
+def rotated_crops(quads: DataFrame, images: DataFrame, keys: list[str], on: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Upright crops of quads of images or of other crops, joined by `on`."""
+    channels = F.col("n_channels") if "n_channels" in images.columns else F.lit(3)
+    joined = quads.select(*keys, "quad").join(images.select(*on, F.col("height").alias("_h"), F.col("width").alias("_w"), channels.alias("_c"), "data"), list(on))
     out = T.StructType([*quads.select(*keys).schema.fields, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

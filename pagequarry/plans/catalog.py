@@ -1,7 +1,491 @@
-"""Registered queries of the layout and evaluation operators."""
+"""Registered queries of the layout and evaluation operators, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from pagequarry.functions import geometry, html, text
+from pagequarry.functions.geometry import Box
+from pagequarry.operators import layout, matching, metrics
+from pagequarry.plans import evaluation, ocr, synthetic as S
+from pagequarry.sources import files
+from pagequarry.streaming import pages as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "roi_dedupe"
+
+REGION_VIEWS, WORD_VIEWS = f"WITH {S.REGIONS_SQL}\n", f"WITH {S.WORDS_SQL}\n"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# regions ----------------------------------------------------------------------------------------------------------------
+
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+@query(REGION_VIEWS + 'SELECT image_id, region_idx, class_id, class, nx0, ny0, nx1, ny1, "left", top, elem_height, elem_width FROM v_projected')
+def roi_project(spark, sf_dir):
+    return layout.project_regions(S.detections(spark, sf_dir)).select("image_id", "region_idx", "class_id", "class", "nx0", "ny0", "nx1", "ny1", "left", "top", "elem_height", "elem_width")
+
+
+@query(REGION_VIEWS + "SELECT image_id, region_idx, px0, py0, px1, py1 FROM v_pixels")
+def roi_denormalize(spark, sf_dir):
+    return layout.pixel_boxes(layout.project_regions(S.detections(spark, sf_dir))).select("image_id", "region_idx", "px0", "py0", "px1", "py1")
+
+
+_DEDUPE = """SELECT image_id, region_idx, class_id FROM v_regions j WHERE NOT EXISTS (
+  SELECT 1 FROM v_regions i WHERE i.image_id = j.image_id AND i.region_idx < j.region_idx
+  AND greatest(0, least(i.x1, j.x1) - greatest(i.x0, j.x0)) * greatest(0, least(i.y1, j.y1) - greatest(i.y0, j.y0)) / ((j.x1 - j.x0) * (j.y1 - j.y0)) > 0.5)"""
+
+
+@query(REGION_VIEWS + _DEDUPE)
+def roi_dedupe(spark, sf_dir):
+    return layout.suppress_overlaps(S.detections(spark, sf_dir)).select("image_id", "region_idx", "class_id")
+
+
+@query(REGION_VIEWS + _DEDUPE)
+def roi_dedupe_by_cells(spark, sf_dir):
+    return layout.suppress_overlaps(S.detections(spark, sf_dir), cell=32.0).select("image_id", "region_idx", "class_id")
+
+
+@query(
+    REGION_VIEWS
+    + "SELECT image_id, region_idx, class, px0, py0, px1, py1, CAST(floor((CAST(trunc((py1 - py0) * 1.2::DOUBLE) AS INTEGER) - (py1 - py0)) / 2) AS INTEGER) AS pad_top, CAST(trunc((py1 - py0) * 1.2::DOUBLE) AS INTEGER) AS crop_h, px1 - px0 AS crop_w FROM v_pixels WHERE class IN ('paragraph', 'text_box')"
+)
+def text_regions_padded(spark, sf_dir):
+    rows = layout.padded_text_regions(layout.project_regions(S.detections(spark, sf_dir)))
+    return rows.select("image_id", "region_idx", "class", "px0", "py0", "px1", "py1", "pad_top", "crop_h", "crop_w")
+
+
+@query(REGION_VIEWS + "SELECT image_id, region_idx, CASE WHEN class = 'image' THEN './img/' || image_id || '_' || region_idx || '.png' END AS img_src FROM v_projected")
+def image_sources(spark, sf_dir):
+    rows = layout.project_regions(S.detections(spark, sf_dir))
+    return layout.image_sources(rows, F.col("image_id"), F.lit("png")).select("image_id", "region_idx", "img_src")
+
+
+@query(
+    REGION_VIEWS
+    + """SELECT image_id, region_idx, x1 - x0 AS w, y1 - y0 AS h, x0 + (x1 - x0) AS back_x1, y0 + (y1 - y0) AS back_y1, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy,
+CAST(trunc(x0 * 0.7::DOUBLE) AS INTEGER) AS tx0, CAST(trunc(y1 * 0.7::DOUBLE) AS INTEGER) AS ty1, (x1 - x0) * (y1 - y0) AS area FROM v_regions"""
+)
+def box_conversions(spark, sf_dir):
+    b = Box.of()
+    _, _, w, h = b.to_xywh()
+    back, (cx, cy), t = Box.xywh(b.x0, b.y0, w, h), b.centroid(), b.map(lambda c: c * F.lit(0.7)).truncated()
+    return S.detections(spark, sf_dir).select("image_id", "region_idx", w.alias("w"), h.alias("h"), back.x1.alias("back_x1"), back.y1.alias("back_y1"), cx.alias("cx"), cy.alias("cy"), t.x0.alias("tx0"), t.y1.alias("ty1"), b.area().alias("area"))
+
+
+@query(
+    REGION_VIEWS
+    + """, pairs AS (
+  SELECT i.image_id, i.region_idx AS a, j.region_idx AS b, greatest(0, least(i.x1, j.x1) - greatest(i.x0, j.x0)) * greatest(0, least(i.y1, j.y1) - greatest(i.y0, j.y0)) AS shared,
+         (i.x1 - i.x0) * (i.y1 - i.y0) AS area_a, (j.x1 - j.x0) * (j.y1 - j.y0) AS area_b FROM v_regions i JOIN v_regions j ON i.image_id = j.image_id AND i.region_idx < j.region_idx)
+SELECT image_id, a, b, shared, round(shared / area_b, 9) AS of_b, round(shared / area_a, 9) AS of_a, round(shared / (area_a + area_b - shared), 9) AS iou FROM pairs WHERE shared > 0"""
+)
+def overlap_ratios(spark, sf_dir):
+    rows = S.detections(spark, sf_dir).select("image_id", "region_idx", *BOX)
+    pairs = matching.grid_pairs(rows, rows, ["image_id"], 32.0).where("l_region_idx < r_region_idx")
+    a, b = Box.of("l_"), Box.of("r_")
+    return pairs.select("image_id", F.col("l_region_idx").alias("a"), F.col("r_region_idx").alias("b"), geometry.intersection(a, b).alias("shared"), F.round(geometry.overlap_ratio(a, b), 9).alias("of_b"), F.round(geometry.overlap_ratio(b, a), 9).alias("of_a"), F.round(geometry.iou(a, b), 9).alias("iou"))
+
+
+# lines ------------------------------------------------------------------------------------------------------------------
+
+LINE = ["image_id", "region_idx", "line_idx"]
+
+
+def _lines(spark, sf_dir):
+    w = S.words(spark, sf_dir)
+    return layout.line_boxes(S.line_quads(w), S.page_regions(w))
+
+
+@query(WORD_VIEWS + "SELECT image_id, region_idx, line_idx, x0, y0, x1, y1, gx0, gy0, gx1, gy1 FROM v_lines")
+def line_quads_to_boxes(spark, sf_dir):
+    return _lines(spark, sf_dir).select(*LINE, *BOX, "gx0", "gy0", "gx1", "gy1")
+
+
+@query(WORD_VIEWS + "SELECT image_id, region_idx, line_idx, x0, y0, x1, y1, dil_top, dil_bottom FROM v_tall")
+def line_dilate_vertical(spark, sf_dir):
+    return layout.dilate_lines_vertically(_lines(spark, sf_dir)).select(*LINE, *BOX, "dil_top", "dil_bottom")
+
+
+@query(
+    WORD_VIEWS
+    + "SELECT image_id, region_idx, line_idx, x0, y0, x1, y1, dil_top, dil_bottom, dil_left, dil_right, gx0 - dil_left AS gx0, gy0 - dil_top AS gy0, gx1 + dil_right AS gx1, gy1 + dil_bottom AS gy1 FROM v_wide WHERE y1 > y0"
+)
+def line_dilate_horizontal(spark, sf_dir):
+    rows = layout.apply_dilations(layout.dilate_lines_horizontally(layout.dilate_lines_vertically(_lines(spark, sf_dir))))
+    return layout.nonempty_crops(rows).select(*LINE, *BOX, "dil_top", "dil_bottom", "dil_left", "dil_right", "gx0", "gy0", "gx1", "gy1")
+
+
+@query(
+    WORD_VIEWS
+    + "SELECT p.image_id, p.region_idx, n = 1 AS single_line, CAST(crop_h AS DOUBLE) * CASE WHEN n = 1 THEN 1.5::DOUBLE ELSE 1 END AS elem_height FROM v_pages p JOIN (SELECT image_id, count(*) AS n FROM v_extents GROUP BY ALL) e ON p.image_id = e.image_id"
+)
+def single_line_flag(spark, sf_dir):
+    w = S.words(spark, sf_dir)
+    regions = S.page_regions(w).select("image_id", "region_idx", F.col("crop_h").cast("double").alias("elem_height"))
+    return layout.single_lines(regions, S.line_extents(w)).select("image_id", "region_idx", "single_line", "elem_height")
+
+
+@query()
+def line_bubble_order(spark, sf_dir):
+    return layout.bubble_order(S.line_quads(S.words(spark, sf_dir)))
+
+
+# words ------------------------------------------------------------------------------------------------------------------
+
+WORD = [*LINE, "word_idx"]
+
+
+@query(WORD_VIEWS + "SELECT image_id, region_idx, line_idx, word_idx, x0, y0, x1, y1 FROM v_words")
+def word_aabb(spark, sf_dir):
+    return layout.word_boxes(S.word_quads(S.words(spark, sf_dir))).select(*WORD, *BOX)
+
+
+def _dilated(spark, sf_dir):
+    w = layout.word_boxes(S.word_quads(S.words(spark, sf_dir)))
+    local = w.withColumns({"y0": F.col("y0") - F.col("line_idx") * 20 + 4, "y1": F.col("y1") - F.col("line_idx") * 20 + 4})
+    n = Window.partitionBy(*LINE)
+    return layout.dilate_words(local.withColumns({"line_h": F.lit(24), "line_w": (F.max("x1").over(n) + 1).cast("int")}))
+
+
+@query(
+    WORD_VIEWS
+    + """, local AS (SELECT *, y0 - line_idx * 20 + 4 AS ly0, y1 - line_idx * 20 + 4 AS ly1, max(x1) OVER (PARTITION BY image_id, line_idx) + 1 AS line_w FROM v_words),
+near AS (SELECT *, lead(x0) OVER w - x1 AS gap, x0 - lag(x1) OVER w AS back, lead(x0) OVER w IS NULL AS last FROM local WINDOW w AS (PARTITION BY image_id, line_idx ORDER BY word_idx)),
+wide AS (SELECT *, CASE WHEN back > 0 THEN greatest(x0 - floor(back / 2), 0) ELSE x0 END AS nx0, CASE WHEN gap > 0 THEN least(x1 + floor(gap / 2), line_w) ELSE x1 END AS nx1, trunc((ly1 - ly0) * 1.1::DOUBLE) AS pad FROM near)
+SELECT image_id, region_idx, line_idx, word_idx, nx0 AS x0, CASE WHEN last THEN ly0 ELSE greatest(ly0 - pad, 0) END AS y0, nx1 AS x1, CASE WHEN last THEN ly1 ELSE least(ly1 + pad, 24) END AS y1,
+CAST(trunc(nx0) AS INTEGER) AS cx0, CAST(trunc(ly0) AS INTEGER) AS cy0, CAST(trunc(nx1) AS INTEGER) AS cx1, CAST(trunc(ly1) AS INTEGER) AS cy1, trunc(nx1) > trunc(nx0) AND trunc(ly1) > trunc(ly0) AS crop_ok FROM wide"""
+)
+def word_dilate(spark, sf_dir):
+    return _dilated(spark, sf_dir).select(*WORD, *BOX, "cx0", "cy0", "cx1", "cy1", "crop_ok")
+
+
+@query(
+    WORD_VIEWS
+    + "SELECT w.image_id, w.region_idx, w.line_idx, word_idx, w.x0 + l.gx0 AS gx0, w.y0 + l.gy0 AS gy0, w.x1 + l.gx0 AS gx1, w.y1 + l.gy0 AS gy1 FROM v_words w JOIN v_lines l ON w.image_id = l.image_id AND w.line_idx = l.line_idx"
+)
+def word_global(spark, sf_dir):
+    w = S.words(spark, sf_dir)
+    lines = layout.line_boxes(S.line_quads(w), S.page_regions(w))
+    return layout.words_on_page(w, lines).select(*WORD, "gx0", "gy0", "gx1", "gy1")
+
+
+@query(
+    WORD_VIEWS
+    + "SELECT w.image_id, w.region_idx, line_idx, word_idx, x0 + 7 AS gx, y0 + 30 - pad_top AS gy, x1 - x0 AS gw, y1 - y0 AS gh FROM v_words w JOIN v_pages p ON w.image_id = p.image_id"
+)
+def word_global_without_lines(spark, sf_dir):
+    w = S.words(spark, sf_dir)
+    return layout.region_words_on_page(w, S.page_regions(w)).select(*WORD, "gx", "gy", "gw", "gh")
+
+
+@query(
+    WORD_VIEWS
+    + """, sized AS (SELECT image_id, line_idx, word_idx, CAST(y1 - y0 AS INTEGER) AS h, CAST(x1 - x0 AS INTEGER) AS w FROM v_words), fitted AS (SELECT *, CAST(trunc(32 * w / h) AS INTEGER) AS fit FROM sized)
+SELECT image_id, line_idx, word_idx, h, w, least(fit, 256) AS resized_w, CASE WHEN fit > 256 THEN CAST(trunc(8192 / fit) AS INTEGER) ELSE 32 END AS resized_h, CASE WHEN fit > 256 THEN 0 ELSE 256 - fit END AS pad_right,
+CASE WHEN fit > 256 THEN 32 - CAST(trunc(8192 / fit) AS INTEGER) ELSE 0 END AS pad_bottom, CASE WHEN fit = 256 THEN 0 ELSE least(fit, 256) END AS mask FROM fitted"""
+)
+def recognizer_resize_geometry(spark, sf_dir):
+    rows = S.words(spark, sf_dir).select("image_id", "line_idx", "word_idx", (F.col("y1") - F.col("y0")).cast("int").alias("h"), (F.col("x1") - F.col("x0")).cast("int").alias("w"))
+    return rows.withColumns(geometry.recogniser_geometry(F.col("h"), F.col("w")))
+
+
+@query(
+    WORD_VIEWS
+    + """, q AS (SELECT image_id, line_idx, word_idx, [x0, x1, x1 - 1, x0 + 1] AS x, [y0 + 1, y0, y1, y1 - 1] AS y FROM v_words),
+s AS (SELECT *, -0.5::DOUBLE * ((y[1] + y[4]) * (x[1] - x[4]) + (y[2] + y[1]) * (x[2] - x[1]) + (y[3] + y[2]) * (x[3] - x[2]) + (y[4] + y[3]) * (x[4] - x[3])) AS signed_area,
+  greatest(sqrt((x[1] - x[2]) ** 2 + (y[1] - y[2]) ** 2), sqrt((x[3] - x[4]) ** 2 + (y[3] - y[4]) ** 2)) AS across, greatest(sqrt((x[1] - x[4]) ** 2 + (y[1] - y[4]) ** 2), sqrt((x[2] - x[3]) ** 2 + (y[2] - y[3]) ** 2)) AS down FROM q)
+SELECT image_id, line_idx, word_idx, signed_area < 0 AS swapped, CAST(trunc(CASE WHEN signed_area < 0 THEN down ELSE across END) AS INTEGER) AS crop_w, CAST(trunc(CASE WHEN signed_area < 0 THEN across ELSE down END) AS INTEGER) AS crop_h,
+trunc(CASE WHEN signed_area < 0 THEN across ELSE down END) / trunc(CASE WHEN signed_area < 0 THEN down ELSE across END) >= 1.5 AS turned FROM s"""
+)
+def rotated_crop_geometry(spark, sf_dir):
+    rows = S.word_quads(S.words(spark, sf_dir)).withColumnRenamed("det_idx", "word_idx")
+    return rows.withColumns(geometry.rotated_crop_geometry("quad")).select("image_id", "line_idx", "word_idx", "swapped", "crop_w", "crop_h", "turned")
+
+
+@query(
+    WORD_VIEWS
+    + ", c AS (SELECT image_id, region_idx, line_idx, count(*) AS n_words FROM v_words GROUP BY ALL) SELECT *, CAST(coalesce(sum(n_words) OVER (PARTITION BY image_id ORDER BY region_idx, line_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM c"
+)
+def counts_and_offsets(spark, sf_dir):
+    return layout.counts_and_offsets(S.words(spark, sf_dir))
+
+
+@query(WORD_VIEWS + "SELECT image_id, region_idx, string_agg(text, ' ' ORDER BY line_idx, word_idx) AS region_text FROM v_words GROUP BY ALL")
+def region_text(spark, sf_dir):
+    return layout.region_texts(S.words(spark, sf_dir))
+
+
+@query(
+    WORD_VIEWS
+    + ", l AS (SELECT image_id, region_idx, line_idx, count(*) AS n, sum(x0) AS s FROM v_words GROUP BY ALL) SELECT image_id, region_idx, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_boxes, sum(s) AS sum_x0 FROM l GROUP BY ALL"
+)
+def nested_words(spark, sf_dir):
+    rows = layout.nested_words(S.words(spark, sf_dir).withColumns({f"g{c}": F.col(c) for c in BOX}))
+    flat = F.flatten("lines")
+    return rows.select("image_id", "region_idx", F.size("lines").cast("long").alias("n_lines"), F.size(flat).cast("long").alias("n_boxes"), F.aggregate(flat, F.lit(0.0), lambda t, b: t + F.get(b, 0)).alias("sum_x0"))
+
+
+# text -------------------------------------------------------------------------------------------------------------------
+
+SYMBOLS = list("abcdefg|")
+
+
+@query(
+    """WITH p AS (SELECT vec_id, unnest(range(1, 8)) AS pos, embedding FROM embeddings),
+a AS (SELECT vec_id, pos, list_position(embedding[pos * 8 + 1 : pos * 8 + 8], list_max(embedding[pos * 8 + 1 : pos * 8 + 8])) - 1 AS token FROM p),
+e AS (SELECT vec_id, coalesce(min(pos) FILTER (token = 7), 99) AS stop FROM a GROUP BY ALL)
+SELECT e.vec_id, coalesce(string_agg(substr('abcdefg|', CAST(token + 1 AS BIGINT), 1), '' ORDER BY pos) FILTER (pos < stop), '') AS text FROM a JOIN e ON a.vec_id = e.vec_id GROUP BY ALL"""
+)
+def token_decode(spark, sf_dir):
+    return S.logits(spark, sf_dir).select("vec_id", text.decoded_logits(F.col("logits"), SYMBOLS, 7).alias("text"))
+
+
+@query(
+    WORD_VIEWS
+    + "SELECT image_id, line_idx, word_idx, NOT regexp_matches(signs, '[A-Za-z0-9]') AS scored, CASE WHEN NOT regexp_matches(signs, '[A-Za-z0-9]') THEN regexp_replace(signs, '^\\s+|\\s+$', '', 'g') END AS gt_word FROM v_signed"
+)
+def gt_text_filter(spark, sf_dir):
+    rows = S.words(spark, sf_dir).withColumn("signs", S.signed_text(F.col("text")))
+    return rows.select("image_id", "line_idx", "word_idx", (~text.has_latin(F.col("signs"))).alias("scored"), text.gt_word(F.col("signs")).alias("gt_word"))
+
+
+PAIRS_SQL = """WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS t FROM conversations),
+pairs AS (SELECT a.conv_id, a.turn, a.t AS ref, b.t AS hyp FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+"""
+
+
+@query(
+    PAIRS_SQL
+    + """SELECT conv_id, turn, CASE WHEN ref = '' THEN length(hyp) WHEN hyp = '' THEN length(ref) ELSE levenshtein(ref, hyp) END AS lev,
+round(CASE WHEN ref = '' OR hyp = '' THEN 1.0 ELSE levenshtein(ref, hyp) / greatest(length(ref), length(hyp)) END, 9) AS ned FROM pairs"""
+)
+def word_ned(spark, sf_dir):
+    ref, hyp = F.col("ref"), F.col("hyp")
+    return S.text_pairs(spark, sf_dir).select("conv_id", "turn", text.word_distance(ref, hyp).cast("long").alias("lev"), F.round(text.word_ned(ref, hyp), 9).alias("ned"))
+
+
+@query(PAIRS_SQL + "SELECT conv_id, turn, round(CASE WHEN ref <> '' THEN levenshtein(ref, hyp) / length(ref) END, 9) AS doc_cer FROM pairs")
+def doc_cer(spark, sf_dir):
+    return S.text_pairs(spark, sf_dir).select("conv_id", "turn", F.round(text.document_cer(F.col("ref"), F.col("hyp")), 9).alias("doc_cer"))
+
+
+@query()
+def doc_wer(spark, sf_dir):
+    pair = F.col("ref"), F.col("hyp")
+    return S.text_pairs(spark, sf_dir).select("conv_id", "turn", F.coalesce(text.document_wer(*pair), text.slow_wer(*pair)).alias("doc_wer"))
+
+
+@query()
+def shuffle_order(spark, sf_dir):
+    """The seeded order of each document's ground-truth regions."""
+    n = S.gt_regions(S.words(spark, sf_dir)).groupBy("image_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return n.select("image_id", "n", text.permutation_of("n").alias("order"))
+
+
+# matching and metrics ---------------------------------------------------------------------------------------------------
+
+
+def _pair(spark, sf_dir) -> tuple[evaluation.Truth, evaluation.Predicted]:
+    w = S.words(spark, sf_dir)
+    return evaluation.Truth(S.gt_regions(w), S.gt_words(w)), evaluation.Predicted(S.pred_regions(w), S.pred_words(w))
+
+
+@query(WORD_VIEWS + "SELECT image_id, CAST(pred_idx AS INTEGER) AS pred_idx, gt_idx, round(ratio, 9) AS ratio FROM v_matches")
+def region_match(spark, sf_dir):
+    truth, predicted = _pair(spark, sf_dir)
+    return matching.best_regions(predicted.regions, truth.regions).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(WORD_VIEWS + "SELECT image_id, gt_idx, word_pos, gt_word_idx FROM v_inside")
+def word_in_region(spark, sf_dir):
+    truth, _ = _pair(spark, sf_dir)
+    return matching.words_in_regions(truth.words, truth.regions).select("image_id", "gt_idx", "word_pos", "gt_word_idx")
+
+
+@query(WORD_VIEWS + "SELECT image_id, gt_idx, array_to_string(preds, ',') AS preds, place FROM v_super")
+def superbox(spark, sf_dir):
+    truth, predicted = _pair(spark, sf_dir)
+    found = matching.superboxes(matching.best_regions(predicted.regions, truth.regions), truth.regions)
+    return found.select("image_id", "gt_idx", F.array_join(F.col("preds").cast("array<string>"), ",").alias("preds"), "place")
+
+
+@query(
+    WORD_VIEWS
+    + "SELECT m.image_id, m.gt_idx, CAST(m.pred_idx AS INTEGER) AS pred_idx, CAST(row_number() OVER (PARTITION BY m.image_id, m.gt_idx ORDER BY (y0 + y1) / 2, m.pred_idx) - 1 AS INTEGER) AS member FROM v_matches m JOIN v_pred p ON m.image_id = p.image_id AND m.pred_idx = p.pred_idx WHERE gt_idx <> -1"
+)
+def superbox_order(spark, sf_dir):
+    truth, predicted = _pair(spark, sf_dir)
+    found = matching.superboxes(matching.best_regions(predicted.regions, truth.regions), truth.regions)
+    return matching.read_order(found, predicted.regions).select("image_id", "gt_idx", "pred_idx", "member")
+
+
+@query(WORD_VIEWS + "SELECT image_id, gt_idx, CAST(pred_idx AS INTEGER) AS pred_idx, line_idx, word_idx, pred_word_idx FROM v_merged")
+def merged_words(spark, sf_dir):
+    return evaluation.align(*_pair(spark, sf_dir)).pred_words.select("image_id", "gt_idx", "pred_idx", "line_idx", "word_idx", "pred_word_idx")
+
+
+# Ground-truth words of the views are disjoint, so a predicted word has one candidate and the greedy choice is a top-1 by word in SQL.
+@query(WORD_VIEWS + "SELECT image_id, gt_idx, pred_word_idx, gt_word_idx, round(iou, 9) AS iou FROM v_pred_pivot")
+def greedy_pred_pivot(spark, sf_dir):
+    return evaluation.pred_pivot(evaluation.align(*_pair(spark, sf_dir))).withColumn("iou", F.round("iou", 9))
+
+
+@query(WORD_VIEWS + "SELECT image_id, gt_idx, pred_word_idx, gt_word_idx, round(iou, 9) AS iou FROM v_gt_pivot")
+def greedy_gt_pivot(spark, sf_dir):
+    return evaluation.gt_pivot(evaluation.align(*_pair(spark, sf_dir))).withColumn("iou", F.round("iou", 9))
+
+
+@query(WORD_VIEWS + "SELECT image_id, dla_box_idx, gt_word_idx, gt_word, pred_word_idx, pred_word, round(cer, 9) AS cer, CAST(lev AS INTEGER) AS lev FROM v_scores")
+def word_scores(spark, sf_dir):
+    rows = evaluation.scores(evaluation.align(*_pair(spark, sf_dir)))
+    return rows.drop("correct").withColumn("cer", F.round("cer", 9))
+
+
+_V1 = ["average_NED", "average_accuracy", "average_precision", "average_f1"]
+
+
+@query(WORD_VIEWS + f"SELECT file_stem, {', '.join(f'round({c}, 9) AS {c}' for c in _V1)} FROM v_metrics")
+def metrics_v1(spark, sf_dir):
+    return evaluation.metrics_v1(*_pair(spark, sf_dir)).select("file_stem", *(F.round(c, 9).alias(c) for c in _V1))
+
+
+@query(
+    WORD_VIEWS
+    + f"SELECT {', '.join(f'round(avg({c}), 9) AS mean_{c}, round(stddev_samp({c}), 9) AS std_{c}' for c in _V1[:2])} FROM v_metrics"
+)
+def metrics_v1_summary(spark, sf_dir):
+    rows = evaluation.summaries(evaluation.metrics_v1(*_pair(spark, sf_dir)))
+    return rows.select(*(F.round(c, 9).alias(c) for c in rows.columns))
+
+
+@query()
+def metrics_v2(spark, sf_dir):
+    """Document error rates of conversations laid out as documents: every turn is read as the next one."""
+    pairs = S.text_pairs(spark, sf_dir)
+    texts = pairs.select(F.concat_ws("-", "conv_id", "turn").alias("image_id"), F.col("ref").alias("reference"), F.col("hyp").alias("hypothesis"))
+    return metrics.metrics_v2(texts, texts.select("image_id"))
+
+
+@query("SELECT event_type, round(sum(value), 6) AS total FROM events GROUP BY event_type")
+def runtime_total(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "events").groupBy("event_type", F.pmod("event_id", F.lit(64)).alias("part")).agg(F.sum("value").alias("s"))
+    maps = rows.groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("stages"))
+    return maps.select("event_type", F.round(metrics.runtime_total(F.col("stages")), 6).alias("total"))
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running_mean FROM events")
+def runtime_running_avg(spark, sf_dir):
+    rows = metrics.running_mean(S.table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"])
+    return rows.select("event_id", F.round("running_mean", 4).alias("running_mean"))
+
+
+# annotations and pages --------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT 'p' || d.doc_id || '.png' AS file_name, b.item_id AS ann_id, CAST(b.item_id % 3 AS INTEGER) AS category_id, 0 AS gt_idx, CAST(b.item_id AS DOUBLE) AS x0, CAST(b.item_id + 40 AS DOUBLE) AS x1, b.text
+FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE b.item_id % 3 IN (0, 1)"""
+)
+def coco_text_join(spark, sf_dir):
+    docs, items = S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark")
+    pictures = docs.select(F.concat(F.lit("p"), "doc_id", F.lit(".png")).alias("file_name"), F.col("doc_id").alias("coco_image_id"))
+    box = F.array(*(F.lit(0.0) + c for c in (F.col("item_id"), F.lit(5), F.lit(40), F.lit(12))))
+    annotations = items.select(F.lit(0).alias("pos"), F.col("item_id").alias("ann_id"), F.col("item_id").alias("coco_image_id"), (F.col("item_id") % 3).cast("int").alias("category_id"), box.alias("bbox"))
+    texts = items.select(F.concat(F.lit("p"), "item_id", F.lit(".png")).alias("file_name"), F.col("item_id").alias("id"), "text")
+    rows, _ = files.with_region_texts(files.coco_regions(pictures, annotations), texts)
+    return rows.select("file_name", "ann_id", "category_id", "gt_idx", "x0", "x1", "text")
+
+
+@query(
+    """SELECT 'p' || doc_id || '.png' AS file_name, 0 AS word_pos, CAST(doc_id % 50 AS DOUBLE) AS x0, 3.0::DOUBLE AS y0, CAST(doc_id % 50 + 20 AS DOUBLE) AS x1, 15.0::DOUBLE AS y1, lang AS text FROM documents WHERE doc_id % 3 <> 0"""
+)
+def via_key_lookup(spark, sf_dir):
+    docs = S.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("p"), "doc_id", F.lit(".png"))
+    shape = F.struct(F.when(F.col("doc_id") % 3 == 0, "polygon").otherwise("rect").alias("name"), (F.col("doc_id") % 50).alias("x"), F.lit(3).alias("y"), F.lit(20).alias("width"), F.lit(12).alias("height"))
+    region = F.struct(shape.alias("shape_attributes"), F.struct(F.col("lang").alias("name")).alias("region_attributes"))
+    entry = F.create_map(F.concat(name, F.col("n_chars").cast("string")), F.struct(F.array(region).alias("regions")))
+    return files.via_words(docs.select(name.alias("file_name"), F.col("n_chars").alias("n_bytes")), docs.select(F.to_json(entry).alias("json")))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_extract(spark, sf_dir):
+    return S.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
+
+
+def _html_rows(spark, sf_dir):
+    rows = layout.project_regions(S.detections(spark, sf_dir))
+    whole = lambda c: F.floor(c).cast("int").alias(c)
+    styled = rows.select("image_id", "region_idx", "class", whole("top"), whole("left"), whole("elem_height"), whole("elem_width"), F.concat(F.lit("a<b & "), F.col("region_idx").cast("string")).alias("text"), "img_src")
+    return layout.image_sources(styled, F.col("image_id"), F.lit("png"))
+
+
+_FRAGMENTS = """, f AS (SELECT image_id, region_idx, class, 'top: ' || CAST(floor(top) AS INTEGER) || 'vh; left: ' || CAST(floor("left") AS INTEGER) || 'vw; height: ' || CAST(floor(elem_height) AS INTEGER) || 'vh; width: ' || CAST(floor(elem_width) AS INTEGER) || 'vw;' AS css FROM v_projected),
+g AS (SELECT image_id, region_idx, CASE WHEN class IN ('paragraph', 'text_box') THEN '<div class="' || class || '" style="' || css || '"><p>a&lt;b &amp; ' || region_idx || '</p></div>'
+  WHEN class = 'image' THEN '<div class="image" style="' || css || '"><img src="./img/' || image_id || '_' || region_idx || '.png" style="width: 100%; height: 100%; object-fit: fill;"/></div>' END AS fragment FROM f)
+"""
+
+
+@query(REGION_VIEWS + _FRAGMENTS + "SELECT image_id, region_idx, fragment FROM g")
+def html_fragment(spark, sf_dir):
+    return html.fragments(_html_rows(spark, sf_dir)).select("image_id", "region_idx", "fragment")
+
+
+@query(
+    REGION_VIEWS
+    + _FRAGMENTS
+    + f"SELECT image_id, '{html.PAGE_HEAD}' || string_agg(fragment, chr(10) ORDER BY region_idx) || '{html.PAGE_TAIL}' AS html FROM g WHERE fragment IS NOT NULL GROUP BY image_id"
+)
+def html_document(spark, sf_dir):
+    return html.documents(_html_rows(spark, sf_dir))
+
+
+# models, with the deterministic stand-ins -------------------------------------------------------------------------------
+
+
+@query()
+def layout_stub(spark, sf_dir):
+    from pagequarry.operators import inference
+
+    return inference.detect_layout(S.stub_images(spark, sf_dir), inference.InkLayout)
+
+
+@query()
+def recognize_stub(spark, sf_dir):
+    """Pages read from pixels to words."""
+    return ocr.read_pages(S.stub_images(spark, sf_dir)).words.select(*WORD, "gx0", "gy0", "gx1", "gy1", "text")
+
+
+@query()
+def read_pages_html(spark, sf_dir):
+    return ocr.read_pages(S.stub_images(spark, sf_dir)).html()
+
+
+@query()
+def recognize_without_lines(spark, sf_dir):
+    return ocr.read_regions(S.stub_images(spark, sf_dir)).select("image_id", "region_idx", "word_idx", "gx", "gy", "gw", "gh", "text")
+
+
+@query(
+    "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, round(sum(value), 6) AS seconds FROM events GROUP BY ALL"
+)
+def stage_windows(spark, sf_dir):
+    """Seconds of each stage by the hour: the batch form of the streaming extension."""
+    return streams.stage_windows(S.table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), "ts", F.col("value").alias("seconds"))).select(F.col("stage").alias("event_type"), "window_start", "n", F.round("seconds", 6).alias("seconds"))
