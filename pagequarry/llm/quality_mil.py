@@ -16,6 +16,7 @@ alike; other columns pass through, and columns named as the outputs are replaced
 
 from __future__ import annotations
 
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -35,7 +36,7 @@ N_SURFACE, N_HASHED = 12, 20
 N_EXTRA = 3
 N_INPUTS = N_SURFACE + N_HASHED + N_EXTRA
 BUCKETS = 4096
-#: Words remembered per task, and words turned into rows at once.
+#: Words remembered per Python worker, and words turned into rows at once.
 KEEP_WORDS, RUN_WORDS = 150_000, PASSAGE * 512
 
 
@@ -120,6 +121,12 @@ def encode_texts(texts: list[str | None], words: Words) -> list[np.ndarray]:
     return [np.stack(rows) if rows else blank for rows in out]
 
 
+@lru_cache(maxsize=1)
+def known_words() -> Words:
+    """One per Python worker."""
+    return Words()
+
+
 # the net ----------------------------------------------------------------------------------------------------------------
 
 
@@ -202,7 +209,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picks), F.col("_id") == F.col("_pick")).select("_id", "_target", "_text")
 
     def make():
-        words = Words()
+        words = known_words()
 
         def work(texts: list) -> list:
             bags = encode_texts(texts, words)
@@ -224,7 +231,7 @@ def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", out: s
     """docs with the score of every whole text."""
 
     def make():
-        words = Words()
+        words = known_words()
         return lambda texts: [model.score(encode_texts(texts, words)) if texts else []]
 
     return with_columns(docs, text_col, [(out, T.DoubleType(), pa.float64())], make)

@@ -1,7 +1,7 @@
 """Token-id files: a static range asymmetric numeral system with shared frequencies and interleaved, independent blocks.
 
 Tokens. Words between white space never share a token in the vocabulary's pre-tokenizer, so every distinct word goes to the
-tokenizers library once per task; texts with a special token's marker or a control character that only Python takes for
+tokenizers library once per Python worker; texts with a special token's marker or a control character that only Python takes for
 white space go whole.
 
 Frequencies. The ids of the whole corpus are counted (partial counts by task, then summed), scaled to 2^SCALE_BITS, and shared
@@ -23,6 +23,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from struct import pack
 from zlib import crc32
 
 import numpy as np
@@ -36,16 +38,19 @@ SCALE_BITS = 20
 LANES, BLOCK_TOKENS, CHECKPOINT = 1024, 1 << 20, 256
 LOW = np.uint64(1 << 31)
 MAGIC = b"TOKIDS01"
-KEEP_WORDS = 300_000
+#: Words remembered by a Python worker.
+KEEP_WORDS = 400_000
 
 
 # tokens -----------------------------------------------------------------------------------------------------------------
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian unsigned integers, from the tokenizers library."""
+    """Word -> its ids as little-endian unsigned integers, from the tokenizers library; kept per Python worker."""
 
     WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+    #: Letters that stay one pre-token, however they are lowered or composed.
+    PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
         super().__init__()
@@ -54,28 +59,75 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.stems: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return pack(f"<{len(ids)}{self.code}", *ids)
+
+    def learn_stems(self, stems: list[str]) -> None:
+        """Plain words go to the library many to a text: each is one pre-token, so its last token tells where it ends."""
+        plain = [s for s in stems if self.PLAIN.fullmatch(s)]
+        rest = [s for s in stems if not self.PLAIN.fullmatch(s)]
+        groups = [plain[lo : lo + 200] for lo in range(0, len(plain), 200)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=self.kind)
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) != len(group):
+                rest += group
+                continue
+            data, size = ids.tobytes(), self.kind.itemsize
+            start = 0
+            for stem, end in zip(group, (ends * size).tolist(), strict=True):
+                self.stems[stem] = data[start:end]
+                start = end
+        for stem, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.stems[stem] = self.pack(found.ids)
+
+    @staticmethod
+    def parted(word: str) -> tuple[str, str]:
+        """(stem, closing points and commas): after a letter these are pre-tokens of their own. ASCII stems are lowered, as the vocabulary does."""
+        stem = word.rstrip(".,")
+        if not stem or not WordIds.PLAIN.fullmatch(stem[-1]):
+            stem = word
+        return stem.lower() if stem.isascii() else stem, word[len(stem) :]
+
+    def learn(self, words: set[str]) -> None:
+        parts = [(w, *self.parted(w)) for w in words]
+        self.learn_stems(list({p for _, stem, tail in parts for p in (stem, tail) if p and p not in self.stems}))
+        known = self.stems
+        for word, stem, tail in parts:
+            self[word] = known[stem] + known[tail] if tail else known[stem]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t and self.WHOLE.search(t) else (t or "").split() for t in texts]
-        fresh = {w for words in split if words for w in words if w not in self}
+        seen: set[str] = set()
+        for words in split:
+            seen.update(words or ())
+        fresh = seen - self.keys()
         if len(self) + len(fresh) > KEEP_WORDS:
             self.clear()
-            fresh = {w for words in split if words for w in words}
-        fresh = list(fresh)
-        for word, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self[word] = self.pack(found.ids)
+            self.stems.clear()
+            fresh = seen
+        self.learn(fresh)
         get = self.__getitem__
         return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
 def tokenised(df: DataFrame, vocabulary: str, text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """df with `ids` (little-endian, 2 bytes for vocabularies up to 65,536, else 4), the end id last."""
 
     def make():
-        words = WordIds(tokenizer_path(vocabulary))
+        words = word_ids(tokenizer_path(vocabulary))
         end = words.pack([end_id])
         return lambda texts: [[ids + end for ids in words.encode(texts)]]
 
