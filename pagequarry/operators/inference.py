@@ -190,11 +190,11 @@ class InkLayout:
 
 
 def bands(marks: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    """Runs of marked places; runs closer than gap are one."""
+    """Runs of marked places; runs with no more than gap places between them are one."""
     at = np.nonzero(marks)[0]
     if not len(at):
         return []
-    cuts = np.nonzero(np.diff(at) > gap)[0]
+    cuts = np.nonzero(np.diff(at) > gap + 1)[0]
     return list(zip(at[np.append(0, cuts + 1)].tolist(), (at[np.append(cuts, len(at) - 1)] + 1).tolist(), strict=True))
 
 

@@ -75,7 +75,7 @@ def runtime_total(stages: Column) -> Column:
     return F.aggregate(F.map_values(stages), F.lit(0.0), lambda total, s: total + s)
 
 
-def running_mean(runtimes: DataFrame, value: str, order: list[str], partition: list[str] | None = None) -> DataFrame:
-    """Mean of all rows up to each, within `partition`."""
+def running_mean(runtimes: DataFrame, value: str, order: list[str], partition: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """Mean of all rows up to each, within `partition`; sums are rounded to `digits`, so the order of additions does not show."""
     w = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return runtimes.withColumn("running_mean", F.avg(value).over(w))
+    return runtimes.withColumn("running_mean", F.round(F.sum(value).over(w), digits) / F.count(value).over(w))

@@ -390,10 +390,9 @@ def runtime_total(spark, sf_dir):
     return maps.select("event_type", F.round(metrics.runtime_total(F.col("stages")), 6).alias("total"))
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running_mean FROM events")
+@query("SELECT event_id, round(sum(value) OVER w, 6) / count(value) OVER w AS running_mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def runtime_running_avg(spark, sf_dir):
-    rows = metrics.running_mean(S.table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"])
-    return rows.select("event_id", F.round("running_mean", 4).alias("running_mean"))
+    return metrics.running_mean(S.table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"]).select("event_id", "running_mean")
 
 
 # annotations and pages --------------------------------------------------------------------------------------------------
