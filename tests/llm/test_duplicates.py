@@ -72,8 +72,8 @@ def test_simhash_query(spark):
 def test_simhash_of_odd_tables(spark):
     rows = [(None, None, 1), (5, "", 1), (4, " ", 1), (9, "q", 1), (9, "q", 1), (None, "lone words here", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
-    got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
-    assert got == [(False, 4, 4), (False, 5, 4), (False, 9, 9), (False, 9, 9), (True, None, None), (True, None, 4)] or sorted(map(repr, got)) == sorted(map(repr, [(False, 4, 4), (False, 5, 4), (False, 9, 9), (False, 9, 9), (True, None, 4), (True, None, None)]))
+    got = sorted(repr((r.doc_id, r.component_id)) for r in simhash.near_duplicates(df).collect())
+    assert got == sorted(map(repr, [(None, 4), (5, 4), (4, 4), (9, 9), (9, 9), (None, None)]))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
