@@ -38,7 +38,7 @@ def test_pages_are_read(spark):
     html = read.html().first().html
     assert 'class="paragraph"' in html
     flat = ocr.read_regions(images(spark, page())).orderBy("word_idx").collect()
-    assert len(flat) == 2 and flat[0].gx == 10  # columns of both lines merge into two words
+    assert len(flat) == 1 and (flat[0].gx, flat[0].gw) == (10, 50)  # without lines, columns of both lines are one word
 
 
 def test_pixels():
@@ -118,3 +118,14 @@ def test_streams(spark, tmp_path):
     batch = spark.sql("SELECT 'line' AS stage, timestamp'2024-01-01 10:20:00' AS ts, 2.0D AS seconds")
     row = streams.stage_windows(batch).first()
     assert (row.n, row.seconds, str(row.window_start)) == (1, 2.0, "2024-01-01 10:00:00")
+
+
+def test_stage_timer(spark):
+    from pagequarry.plans.timing import StageTimer
+
+    timer = StageTimer("r")
+    for name in ("line", "word"):
+        with timer.stage(name):
+            spark.range(10).count()
+    total = evaluation.corpus_timings(timer.frame(spark)).first()
+    assert total.image_id == "r" and abs(total.full_pipeline - sum(r[2] for r in timer.rows)) < 1e-9
