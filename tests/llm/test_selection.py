@@ -227,3 +227,16 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "s", 1, "x"), (2, text, "en", None, 1, "x"), (None, text, None, "s", None, "x"), (3, None, "en", "s", 0, "x"), (4, "", None, None, 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _score string")
+    assert sorted(map(repr, (r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()))) == ["1", "3", "None"]
+    for frame in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, SF)
+            assert out.count() <= frame.count()
