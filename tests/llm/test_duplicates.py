@@ -119,6 +119,13 @@ def test_shared_passages(spark):
     assert passages.shared_passages(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_phrase_meet_along_one_chain(spark):
+    a, b = ("one two three " * 400).strip(), ("zero " + "one two three " * 300).strip()
+    found = passages.shared_passages(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")).collect()
+    assert len(found) <= 4 and {x for r in found for x in (r.doc_id, r.other_id)} == {1, 2, 3}
+    assert max(r.n_words for r in found) >= 850
+
+
 def test_chains_equal_the_quadratic_recurrence():
     r = random.Random(6)
     for _ in range(200):
