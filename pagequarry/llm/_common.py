@@ -81,17 +81,18 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         start = stop
 
 
-def with_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def with_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[], Callable[[list], list]], keep_text: bool = True) -> DataFrame:
     """df with columns that a Python function derives from text_col.
 
     make() is called once per task and gives a function from a list of texts (None for null) to one list per field.
-    A column of df that has a field's name is replaced.
+    A column of df that has a field's name is replaced. Without keep_text, texts are not sent back.
     """
     bounded_batches(df.sparkSession)
     taken = {name.lower() for name, _, _ in fields}
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
     at = [c.lower() for c in base.columns].index(text_col.lower())
-    schema = T.StructType([*base.schema.fields, *(T.StructField(n, t) for n, t, _ in fields)])
+    kept = [i for i in range(len(base.columns)) if keep_text or i != at]
+    schema = T.StructType([*(base.schema.fields[i] for i in kept), *(T.StructField(n, t) for n, t, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -100,7 +101,7 @@ def with_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataTyp
                 part = batch.slice(lo, hi - lo)
                 made = work(part.column(at).to_pylist())
                 arrays = [pa.array(values, type=kind) for values, (_, _, kind) in zip(made, fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *arrays], names=schema.names)
 
     return base.mapInArrow(run, schema)
 

@@ -38,8 +38,8 @@ SCALE_BITS = 20
 LANES, BLOCK_TOKENS, CHECKPOINT = 1024, 1 << 20, 256
 LOW = np.uint64(1 << 31)
 MAGIC = b"TOKIDS01"
-#: Words remembered by a Python worker.
-KEEP_WORDS = 400_000
+#: Words, and stems, that a Python worker holds before its tables age.
+KEEP_WORDS = 250_000
 
 
 # tokens -----------------------------------------------------------------------------------------------------------------
@@ -48,7 +48,8 @@ KEEP_WORDS = 400_000
 class WordIds(dict):
     """Word -> its ids as little-endian unsigned integers, from the tokenizers library; kept per Python worker."""
 
-    WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+    #: Texts with one of these go to the library whole.
+    WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
     #: Letters that stay one pre-token, however they are lowered or composed.
     PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -65,6 +66,8 @@ class WordIds(dict):
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.stems: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return pack(f"<{len(ids)}{self.code}", *ids)
@@ -98,22 +101,32 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         parts = [(w, *self.parted(w)) for w in words]
-        self.learn_stems(list({p for _, stem, tail in parts for p in (stem, tail) if p and p not in self.stems}))
-        known = self.stems
+        known, old = self.stems, self.old_stems
+        needed = {p for _, stem, tail in parts for p in (stem, tail) if p and p not in known}
+        again = needed & old.keys()
+        known.update((p, old[p]) for p in again)
+        self.learn_stems(list(needed - again))
         for word, stem, tail in parts:
             self[word] = known[stem] + known[tail] if tail else known[stem]
 
+    def age(self) -> None:
+        """Full tables become the old ones; what is met again moves on from there, rare words go with the next change."""
+        if len(self) > KEEP_WORDS:
+            self.old_words = dict(self)
+            self.clear()
+        if len(self.stems) > KEEP_WORDS:
+            self.old_stems, self.stems = self.stems, {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and self.WHOLE.search(t) else (t or "").split() for t in texts]
+        self.age()
+        split = [None if t and any(mark in t for mark in self.WHOLE) else (t or "").split() for t in texts]
         seen: set[str] = set()
         for words in split:
             seen.update(words or ())
         fresh = seen - self.keys()
-        if len(self) + len(fresh) > KEEP_WORDS:
-            self.clear()
-            self.stems.clear()
-            fresh = seen
-        self.learn(fresh)
+        again = fresh & self.old_words.keys()
+        self.update((w, self.old_words[w]) for w in again)
+        self.learn(fresh - again)
         get = self.__getitem__
         return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
@@ -124,14 +137,14 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenised(df: DataFrame, vocabulary: str, text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """df with `ids` (little-endian, 2 bytes for vocabularies up to 65,536, else 4), the end id last."""
+    """df without the text, with `ids` (little-endian, 2 bytes for vocabularies up to 65,536, else 4), the end id last."""
 
     def make():
         words = word_ids(tokenizer_path(vocabulary))
         end = words.pack([end_id])
         return lambda texts: [[ids + end for ids in words.encode(texts)]]
 
-    return with_columns(df, text_col, [("ids", T.BinaryType(), pa.binary())], make)
+    return with_columns(df, text_col, [("ids", T.BinaryType(), pa.binary())], make, keep_text=False)
 
 
 def counted(tokens: DataFrame, width: int) -> np.ndarray:
@@ -140,11 +153,10 @@ def counted(tokens: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_py(), dtype=f"<u{width}"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
-                total[: len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=f"<u{width}"))
+            if len(n) > len(total):
+                total = np.concatenate([total, np.zeros(len(n) - len(total), dtype=np.int64)])
+            total[: len(n)] += n
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
@@ -318,7 +330,7 @@ class TokenFile:
 
 def write_corpus(docs: DataFrame, directory: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], np.ndarray]:
     """Writes docs' token files below directory; gives ((path, ids) of each file in order of ids, frequencies)."""
-    tokens = tokenised(docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("text")), vocabulary).drop("text")
+    tokens = tokenised(docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("text")), vocabulary)
     tokens = materialised(tokens, "tokens")
     width = int(WordIds(tokenizer_path(vocabulary)).kind.itemsize)
     freq = scaled(counted(tokens, width))
