@@ -142,6 +142,20 @@ def test_chains_equal_the_quadratic_recurrence():
         assert abs(got - max(score)) < 1e-9
 
 
+def test_failing_chains_give_their_parts(spark):
+    r = random.Random(11)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, expected = [], set()
+    for i, (own, other) in enumerate([(31, 31), (40, 40), (40, 0), (80, 80), (79, 31)]):
+        first, second = some(60), some(60)
+        rows += [(2 * i, " ".join(some(30) + first + some(own) + second + some(30))), (2 * i + 1, " ".join(some(9) + first + some(other) + second + some(9)))]
+        expected |= {(2 * i, 30, 90), (2 * i, 90 + own, 150 + own), (2 * i + 1, 9, 69), (2 * i + 1, 69 + other, 129 + other)}
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {x for r in got for x in ((r.doc_id, r.start_word, r.end_word), (r.other_id, r.other_start, r.other_end))}
+    assert all(r.similarity >= 0.8 for r in got)
+    assert all(any(d == i and s <= a and b <= e for d, s, e in spans) for i, a, b in expected)
+
+
 def test_gap_alignment():
     assert passages.matched([1, 2, 3, 4], [1, 9, 3, 4]) == 3
     assert passages.matched([], [1]) == 0 and passages.matched([1, 2], [1, 5, 2]) == 2
