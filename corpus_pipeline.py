@@ -1,6 +1,6 @@
 """Corpus pipeline: five stages over documents, each written as Parquet before the next reads it.
 
-Null and empty texts pass as their operators define it: they are scored, fingerprinted as 0 (one of them stays), have no secret, weigh
+Null and empty texts pass as their operators define it: they are scored, near copies of each other (one of them stays), have no secret, weigh
 nothing in the mix, and have no ids. Tables without rows give tables without rows; columns beyond those of documents pass through
 all stages but the last.
 """
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagequarry.llm import bpe, mixing, quality_mil, secrets, simhash
+from pagequarry.llm import bpe, mixing, near, quality_mil, secrets
 from pagequarry.llm._common import materialised, table
 
 
@@ -22,11 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints: the one with the least id.
+    """One document of each component of texts whose five-word shingles are alike from 0.8: the one with the least id.
 
     Rows that share an id stay or go together; rows without an id stay, since none can be named in their place.
     """
-    found = simhash.near_duplicates(docs)
+    found = near.near_duplicates(docs)
     stays = found.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
 

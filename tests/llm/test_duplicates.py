@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from pagequarry.llm import ann, passages, simhash
+from pagequarry.llm import ann, near, passages, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +77,40 @@ def test_simhash_of_odd_tables(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_finds_copies_from_similarity_08(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randrange(10**5)}" for _ in range(n)]
+    docs = [some(r.randrange(100, 400)) for _ in range(60)]
+    for i in range(60):
+        copy = list(docs[i])
+        for j in r.sample(range(len(copy)), r.randrange(1, max(2, len(copy) // 38))):
+            copy[j] = "changed"
+        docs.append(copy)
+    hot = some(300)
+    docs += [[*hot[:k], "other", *hot[k + 1 :]] for k in range(0, 300, 2)]
+    sets = [set(near.shingles(" ".join(d)).tolist()) for d in docs]
+    parent = list(range(len(docs)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    low = 0
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low += both < 0.95 * (len(sets[i]) + len(sets[j]) - both)
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert low > 30
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert kept == {i for i in range(len(docs)) if find(i) == i}
+
+
 # passages ---------------------------------------------------------------------------------------------------------------
 
 
