@@ -176,6 +176,23 @@ def test_chains_equal_the_quadratic_recurrence():
         assert abs(got - max(score)) < 1e-9
 
 
+def test_chains_take_the_best_predecessor_within_reach():
+    assert passages.chains_of([(0, 0, 500), (600, 600, 28), (628, 629, 28)]) == [[(0, 0, 500)], [(600, 600, 28), (628, 629, 28)]]
+    r = random.Random(7)
+    for _ in range(300):
+        runs = sorted({(r.randrange(500), r.randrange(500), r.randrange(8, 60)) for _ in range(r.randrange(2, 30))})
+        order = sorted(range(len(runs)), key=lambda i: runs[i][0])
+        score = [0.0] * len(runs)
+        for i in order:
+            p, o, n = runs[i]
+            gaps = [(s, p - q - m, o - u - m) for (q, u, m), s in zip(runs, score, strict=True) if s and q + m <= p and u + m <= o]
+            score[i] = n + max([0.0, *(s - passages.GAP_COST * (x + y) for s, x, y in gaps if max(x, y) <= passages.MOST_GAP)])
+        chain = passages.chains_of(runs)[0]
+        steps = [(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) for a, b in zip(chain, chain[1:], strict=False)]
+        assert all(0 <= min(s) and max(s) <= passages.MOST_GAP for s in steps)
+        assert abs(sum(n for *_, n in chain) - passages.GAP_COST * sum(map(sum, steps)) - max(score)) < 1e-9
+
+
 def test_failing_chains_give_their_parts(spark):
     r = random.Random(11)
     some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
