@@ -207,6 +207,21 @@ def test_failing_chains_give_their_parts(spark):
     assert all(any(d == i and s <= a and b <= e for d, s, e in spans) for i, a, b in expected)
 
 
+def test_passages_of_50_words_are_found_from_similarity_08(spark):
+    r = random.Random(13)
+    some = lambda n: [f"w{r.randrange(10**5)}" for _ in range(n)]
+    rows, every = [], []
+    for i in range(150):
+        passage, similarity = some(50), (0.8, 0.85, 0.9)[i % 3]
+        at = r.sample(range(50), round(50 * (1 - similarity)))
+        copy = [f"new{i}x{j}" if j in at else w for j, w in enumerate(passage)]
+        rows += [(2 * i, " ".join(some(40) + passage + some(40))), (2 * i + 1, " ".join(some(40) + copy + some(40)))]
+        if 0 not in at and 49 not in at:  # else the passage between its exact ends is shorter than 50 words
+            every.append((2 * i, 2 * i + 1))
+    got = {tuple(sorted((x.doc_id, x.other_id))) for x in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(every) > 50 and set(every) <= got and all(b == a + 1 and a % 2 == 0 for a, b in got)
+
+
 def test_gap_alignment():
     assert passages.matched([1, 2, 3, 4], [1, 9, 3, 4]) == 3
     assert passages.matched([], [1]) == 0 and passages.matched([1, 2], [1, 5, 2]) == 2
