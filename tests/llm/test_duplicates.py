@@ -222,6 +222,19 @@ def test_passages_of_50_words_are_found_from_similarity_08(spark):
     assert len(every) > 50 and set(every) <= got and all(b == a + 1 and a % 2 == 0 for a, b in got)
 
 
+def test_every_copy_of_a_passage_has_a_span(spark):
+    r = random.Random(14)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    p, q = some(60), some(60)
+    texts = [some(20) + p + some(90) + p + some(95) + p + some(20), some(30) + p + some(30), some(10) + q[:30] + some(70) + q[30:] + some(80) + q + some(5), some(30) + q + some(30), some(9) + q + some(9)]
+    wanted = [(0, 20), (0, 170), (0, 325), (1, 30), (2, 220), (3, 30), (4, 9)]
+    for ids in (range(5), range(7, 12), range(20, 15, -1)):  # other hashes, so other first documents
+        rows = [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
+        got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        spans = {x for g in got for x in ((g.doc_id, g.start_word, g.end_word), (g.other_id, g.other_start, g.other_end))}
+        assert all(any(d == ids[k] and s <= a and a + 60 <= e for d, s, e in spans) for k, a in wanted)
+
+
 def test_gap_alignment():
     assert passages.matched([1, 2, 3, 4], [1, 9, 3, 4]) == 3
     assert passages.matched([], [1]) == 0 and passages.matched([1, 2], [1, 5, 2]) == 2
