@@ -235,6 +235,25 @@ def test_every_copy_of_a_passage_has_a_span(spark):
         assert all(any(d == ids[k] and s <= a and a + 60 <= e for d, s, e in spans) for k, a in wanted)
 
 
+def test_a_passage_of_frequent_lines_links_its_holders(spark):
+    r = random.Random(15)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    lines = [some(20) for _ in range(3)]
+    texts = [some(30) + sum(lines, []) + some(30), some(50) + sum(lines, []) + some(20)]
+    texts += [some(30) + lines[k % 3] + some(30) for k in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = passages.shared_passages(df.repartition(8)).collect()
+    assert {frozenset((x.doc_id, x.other_id)) for x in got} == {frozenset((0, 1))}
+    assert max(x.n_words for x in got) >= 60
+
+
+def test_up_to_three_holders_of_a_seed_all_meet():
+    h, doc, pos = np.array([1, 1, 1, 2, 2, 2, 2], dtype=np.uint64), np.array([5, 6, 7, 5, 5, 8, 8]), np.arange(7)
+    rows, partners, _, holders = passages.linked(h, doc, pos)
+    assert sorted(zip(rows.tolist(), partners.tolist(), strict=True)) == [(1, 0), (2, 0), (2, 1), (4, 5), (5, 3), (6, 3)]
+    assert holders.tolist() == [3, 2]
+
+
 def test_gap_alignment():
     assert passages.matched([1, 2, 3, 4], [1, 9, 3, 4]) == 3
     assert passages.matched([], [1]) == 0 and passages.matched([1, 2], [1, 5, 2]) == 2
