@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import posixpath
 import tempfile
@@ -52,6 +53,12 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of frames that nothing refers to any more; it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def open_filesystem(uri: str):
     """(Arrow file system, path) of a shared folder; executors write their files by it."""
     from pyarrow import fs
