@@ -6,6 +6,7 @@ import gc
 import os
 import posixpath
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,8 +56,11 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Has Spark remove the shuffle files of frames that nothing refers to any more; it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver hears of frames that Python has dropped a moment later
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def open_filesystem(uri: str):
