@@ -4,8 +4,8 @@ Sets. A text's A-Z are lowered and every run of `shingle` words is hashed; equal
 
 Candidates. ROWS of the BANDS * ROWS least hashes make a band's key; at a similarity of 0.8 two texts share none of the bands in
 one of 100,000 cases. Classes of one key are compared by their signatures. In up to SMALL of them every pair of an estimate of
-PLAUSIBLE is a candidate; in more, a class meets those before it that no other stands for (estimate of ALIKE), so a large group of
-near copies gives a few rows each, not its pairs.
+PLAUSIBLE is a candidate; in more, a class meets those before it that no other stands for (estimate of ALIKE). A large group of
+copies less alike than that still gives many of its pairs.
 
 Decision. Candidates' sets are joined and count from `similarity` (common shingles over all). Components as for SimHash.
 
