@@ -92,11 +92,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         start = stop
 
 
-def with_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[], Callable[[list], list]], keep_text: bool = True) -> DataFrame:
+def with_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable[[], Callable[[list], list]], keep_text: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """df with columns that a Python function derives from text_col.
 
     make() is called once per task and gives a function from a list of texts (None for null) to one list per field.
-    A column of df that has a field's name is replaced. Without keep_text, texts are not sent back.
+    A column of df that has a field's name is replaced. Without keep_text, texts are not sent back. Texts of slice_bytes come at once.
     """
     bounded_batches(df.sparkSession)
     taken = {name.lower() for name, _, _ in fields}
@@ -108,7 +108,7 @@ def with_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataTyp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for lo, hi in slices(batch.column(at)):
+            for lo, hi in slices(batch.column(at), slice_bytes):
                 part = batch.slice(lo, hi - lo)
                 made = work(part.column(at).to_pylist())
                 arrays = [pa.array(values, type=kind) for values, (_, _, kind) in zip(made, fields, strict=True)]

@@ -1,20 +1,22 @@
 """Token-id files: a static range asymmetric numeral system with shared frequencies and interleaved, independent blocks.
 
-Tokens. Words between white space never share a token in the vocabulary's pre-tokenizer, so every distinct word goes to the
-tokenizers library once per Python worker; texts with a special token's marker or a control character that only Python takes for
-white space go whole.
+Tokens. Words between ASCII white space never share a token in the vocabulary's pre-tokenizer, so every distinct word goes to the
+tokenizers library once per Python worker while it is remembered, and texts' ids are gathered from flat arrays. Texts with a
+special token's marker go whole.
 
 Frequencies. The ids of the whole corpus are counted (partial counts by task, then summed), scaled to 2^SCALE_BITS, and shared
 by all blocks. The table has a row for each id, so its bound is the vocabulary.
 
 Files. Documents are range-partitioned by id; each partition is one file, written to a name of its own and renamed. A file
-holds a header, the document index, and blocks of up to BLOCK_TOKENS ids. A block codes LANES interleaved states; each keeps a
-checksum of payload and ids, and checkpoints (states and stream offset) every CHECKPOINT steps from which decoding can start.
+holds a header, the document index, and blocks of up to BLOCK_TOKENS ids. A block codes LANES interleaved states and has a
+checkpoint (states and stream offset) every CHECKPOINT steps, and a checksum of the payload and of the ids after each checkpoint.
 
-Reading. One task a file streams its blocks; starts are running sums over the list of files, one entry each.
+Reading. Segments between checkpoints are dealt to tasks, several tasks to a file; a task reads the documents that start in its
+segments and follows the last one into later segments. Starts are running sums over the list of files, one entry each.
 
-Defined cases: null and empty texts have only the end id; documents with null ids come first; rows with equal ids are ordered
-by content; without rows there are no files; other columns are ignored.
+Defined cases: null and empty texts have only the end id; a very long text is looked up by itself, may span blocks and is one row
+again when read; documents with null ids come first; ties and repeated rows (equal ids) are ordered by content; without
+rows there are no files; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,106 +31,133 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pagequarry.llm._common import bounded_batches, materialised, open_filesystem, publish, shared_dir, table, tokenizer_path, with_columns
 
 END_ID = 2
 SCALE_BITS = 20
-LANES, BLOCK_TOKENS, CHECKPOINT = 1024, 1 << 20, 256
+LANES, BLOCK_TOKENS, CHECKPOINT = 2048, 1 << 20, 128
 LOW = np.uint64(1 << 31)
-MAGIC = b"TOKIDS01"
-#: Words, and stems, that a Python worker holds before its tables age.
-KEEP_WORDS = 250_000
+MAGIC = b"TOKIDS02"
+#: Ids from one checkpoint to the next, and bytes of a checkpoint.
+SEGMENT, RECORD = CHECKPOINT * LANES, 8 + 8 * LANES
+#: Segments that one task reads at a time, and most tasks that they are dealt to.
+TASK_SEGMENTS, MOST_TASKS = 16, 50_000
+#: Words that a Python worker remembers before rare ones go; bytes of texts whose distinct words are looked up together.
+KEEP_WORDS, LOOKUP_BYTES = 600_000, 8 << 20
 
 
 # tokens -----------------------------------------------------------------------------------------------------------------
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian unsigned integers, from the tokenizers library; kept per Python worker."""
+class WordIds:
+    """Ids of words from the tokenizers library, kept in flat arrays per Python worker: word n has size[n] ids from start[n] on."""
 
-    #: Texts with one of these go to the library whole.
-    WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-    #: Letters that stay one pre-token, however they are lowered or composed.
-    PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    #: Texts with this, which begins a special token, go to the library whole.
+    SPECIAL = "<|"
+    #: Fixed value: the vocabulary's pre-tokens, for words in lower case of printable ASCII and precomposed Latin letters.
+    PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+    SIMPLE = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    #: The commonest forms: letters, one pre-token; letters and closing signs, two.
+    LETTERS, CLOSED = "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+$", "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[!-/:-@\\[-`{-~]+$"
+    GROUP = 500
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = None
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.stems: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_stems: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.start, self.size, self.used, self.flat = (np.zeros(0, dtype=kind) for kind in (np.int64, np.int32, np.int32, self.kind))
 
     def pack(self, ids: list[int]) -> bytes:
         return pack(f"<{len(ids)}{self.code}", *ids)
 
-    def learn_stems(self, stems: list[str]) -> None:
-        """Plain words go to the library many to a text: each is one pre-token, so its last token tells where it ends."""
-        plain = [s for s in stems if self.PLAIN.fullmatch(s)]
-        rest = [s for s in stems if not self.PLAIN.fullmatch(s)]
-        groups = [plain[lo : lo + 200] for lo in range(0, len(plain), 200)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype=self.kind)
+    def learn(self, fresh: pa.Array) -> None:
+        """Words of known pre-tokens go to the library many to a text and past its normaliser: how many each has tells where it ends."""
+        sizes, parts, order = np.zeros(len(fresh), dtype=np.int32), [], []
+        closed = pc.match_substring_regex(fresh, self.CLOSED).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(fresh, self.LETTERS).to_numpy(zero_copy_only=False) | closed
+        at, counts = np.nonzero(plain)[0], 1 + closed[plain].astype(np.int64)
+        lowered, rest = pc.utf8_lower(fresh.filter(pa.array(plain))), []
+        others = np.nonzero(~plain)[0]
+        simple: list[tuple[int, int, str]] = []
+        for k, word in zip(others.tolist(), fresh.take(pa.array(others)).to_pylist(), strict=True):
+            if self.SIMPLE.fullmatch(word):
+                simple.append((k, len(self.PRE.findall(word.lower())), word.lower()))
+            else:
+                rest.append(k)
+        if simple:
+            k, n, names = zip(*simple, strict=True)
+            at, counts, lowered = np.concatenate([at, k]), np.concatenate([counts, n]), pa.concat_arrays([lowered, pa.array(names, pa.large_string())])
+        bounds = [*range(0, len(at), self.GROUP), len(at)]
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lowered), pa.scalar(" ", pa.large_string())).to_pylist()
+        for lo, hi, found in zip(bounds, bounds[1:], self.bare.encode_batch_fast(texts, add_special_tokens=False), strict=False):
+            ids, last = np.array(found.ids, dtype=self.kind), np.cumsum(counts[lo:hi])
             ends = np.nonzero(self.ends[ids])[0] + 1
-            if len(ends) != len(group):
-                rest += group
+            if len(ends) != last[-1]:  # not the pre-tokens expected
+                rest += at[lo:hi].tolist()
                 continue
-            data, size = ids.tobytes(), self.kind.itemsize
-            start = 0
-            for stem, end in zip(group, (ends * size).tolist(), strict=True):
-                self.stems[stem] = data[start:end]
-                start = end
-        for stem, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.stems[stem] = self.pack(found.ids)
-
-    @staticmethod
-    def parted(word: str) -> tuple[str, str]:
-        """(stem, closing points and commas): after a letter these are pre-tokens of their own. ASCII stems are lowered, as the vocabulary does."""
-        stem = word.rstrip(".,")
-        if not stem or not WordIds.PLAIN.fullmatch(stem[-1]):
-            stem = word
-        return stem.lower() if stem.isascii() else stem, word[len(stem) :]
-
-    def learn(self, words: set[str]) -> None:
-        parts = [(w, *self.parted(w)) for w in words]
-        known, old = self.stems, self.old_stems
-        needed = {p for _, stem, tail in parts for p in (stem, tail) if p and p not in known}
-        again = needed & old.keys()
-        known.update((p, old[p]) for p in again)
-        self.learn_stems(list(needed - again))
-        for word, stem, tail in parts:
-            self[word] = known[stem] + known[tail] if tail else known[stem]
+            sizes[at[lo:hi]] = np.diff(ends[last - 1], prepend=0)
+            parts.append(ids)
+            order.append(at[lo:hi])
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast(fresh.take(pa.array(rest, pa.int64())).to_pylist(), add_special_tokens=False), strict=True):
+            sizes[k] = len(found.ids)
+            parts.append(np.array(found.ids, dtype=self.kind))
+            order.append(np.array([k]))
+        start = np.zeros(len(fresh), dtype=np.int64)
+        if order:
+            order = np.concatenate(order)
+            start[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.start, self.size, self.flat = np.concatenate([self.start, start]), np.concatenate([self.size, sizes]), np.concatenate([self.flat, *parts])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), dtype=np.int32)])
+
+    def gathered(self, n: np.ndarray) -> np.ndarray:
+        sizes = self.size[n]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.flat[np.repeat(self.start[n] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def age(self) -> None:
-        """Full tables become the old ones; what is met again moves on from there, rare words go with the next change."""
-        if len(self) > KEEP_WORDS:
-            self.old_words = dict(self)
-            self.clear()
-        if len(self.stems) > KEEP_WORDS:
-            self.old_stems, self.stems = self.stems, {}
+        """A full table keeps the half of its words that was met most often."""
+        if len(self.words) > KEEP_WORDS:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: KEEP_WORDS // 2])
+            self.flat, self.words, self.size, self.used = self.gathered(keep), self.words.take(pa.array(keep)), self.size[keep], self.used[keep] // 2
+            self.start = np.cumsum(self.size, dtype=np.int64) - self.size
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids, packed."""
         self.age()
-        split = [None if t and any(mark in t for mark in self.WHOLE) else (t or "").split() for t in texts]
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words or ())
-        fresh = seen - self.keys()
-        again = fresh & self.old_words.keys()
-        self.update((w, self.old_words[w]) for w in again)
-        self.learn(fresh - again)
-        get = self.__getitem__
-        return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        column = pa.array(texts, pa.large_string())
+        whole = np.nonzero(pc.fill_null(pc.match_substring(column, self.SPECIAL), False).to_numpy(zero_copy_only=False))[0].tolist()
+        if whole:
+            column = pa.array([None if t and self.SPECIAL in t else t for t in texts], pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        coded = pc.dictionary_encode(lists.flatten())
+        n = pc.index_in(coded.dictionary, value_set=self.words)
+        new = n.is_null().to_numpy(zero_copy_only=False)
+        n = n.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n[new] = len(self.words) + np.arange(new.sum())
+        if new.any():
+            self.learn(coded.dictionary.filter(pa.array(new)))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        self.used[n] += np.bincount(at, minlength=len(n)).astype(np.int32)
+        at = n[at]
+        ids, ends = self.gathered(at), np.concatenate([[0], np.cumsum(self.size[at], dtype=np.int64)])
+        bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        out = [ids[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        for k in whole:
+            out[k] = self.pack(self.tokenizer.encode(texts[k], add_special_tokens=False).ids)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -144,7 +173,7 @@ def tokenised(df: DataFrame, vocabulary: str, text_col: str = "text", end_id: in
         end = words.pack([end_id])
         return lambda texts: [[ids + end for ids in words.encode(texts)]]
 
-    return with_columns(df, text_col, [("ids", T.BinaryType(), pa.binary())], make, keep_text=False)
+    return with_columns(df, text_col, [("ids", T.BinaryType(), pa.binary())], make, keep_text=False, slice_bytes=LOOKUP_BYTES)
 
 
 def counted(tokens: DataFrame, width: int) -> np.ndarray:
@@ -220,29 +249,30 @@ class Coder:
         return points + (np.concatenate(words).astype("<u4").tobytes() if steps else b""), len(states)
 
     def decode(self, payload: bytes, n: int, points: int, first_point: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids from checkpoint first_point's on, to the id before stop."""
-        record = 8 + 8 * LANES
-        stream = np.frombuffer(payload, dtype="<u4", offset=points * record)
-        stop = n if stop is None else min(n, stop)
+        """Ids of a whole payload from checkpoint first_point's on, to the id before stop."""
+        at, states = self.record(payload[first_point * RECORD : (first_point + 1) * RECORD])
         lo = first_point * CHECKPOINT * LANES
-        out = np.empty(max(0, stop - lo), dtype=np.uint32)
-        if not len(out):
-            return out
-        at = int(np.frombuffer(payload, "<u8", 1, first_point * record)[0])
-        x = np.frombuffer(payload, "<u8", LANES, first_point * record + 8).astype(np.uint64)
-        inside = np.uint64((1 << int(self.bits)) - 1)
-        for begin in range(lo, stop, LANES):
-            k = min(LANES, n - begin)
-            now = x[:k]
+        return self.steps(states, np.frombuffer(payload, dtype="<u4", offset=points * RECORD + 4 * at), n - lo, (n if stop is None else min(n, stop)) - lo)
+
+    @staticmethod
+    def record(data: bytes) -> tuple[int, np.ndarray]:
+        """(place in the stream, states) of a checkpoint."""
+        return (int(np.frombuffer(data, "<u8", 1)[0]), np.frombuffer(data, "<u8", LANES, 8).astype(np.uint64)) if data else (0, np.empty(0, dtype=np.uint64))
+
+    def steps(self, x: np.ndarray, stream: np.ndarray, left: int, wanted: int) -> np.ndarray:
+        """The next `wanted` ids from the states x, of `left` that the block still has."""
+        out = np.empty(max(0, wanted), dtype=np.uint32)
+        inside, at = np.uint64((1 << int(self.bits)) - 1), 0
+        for lo in range(0, wanted, LANES):
+            now = x[: min(LANES, left - lo)]
             slot = now & inside
             s = self.symbol[slot]
             now = self.freq[s] * (now >> self.bits) + slot - self.start[s]
             low = np.nonzero(now < LOW)[0]
             now[low] = now[low] << np.uint64(32) | stream[at : at + len(low)]
             at += len(low)
-            x[:k] = now
-            use = min(k, stop - begin)
-            out[begin - lo : begin - lo + use] = s[:use]
+            x[: len(now)] = now
+            out[lo : lo + LANES] = s[: wanted - lo]
         return out
 
 
@@ -258,7 +288,8 @@ def write_file(out, coder: Coder, docs: Iterator[tuple[int | None, np.ndarray]])
         nonlocal at
         payload, points = coder.encode(some)
         out.write(payload)
-        blocks.append([at, len(payload), len(some), points, crc32(payload), crc32(some.astype("<u4").tobytes())])
+        sums = [crc32(some[lo : lo + SEGMENT].astype("<u4").tobytes()) for lo in range(0, len(some), SEGMENT)]
+        blocks.append([at, len(payload), len(some), points, crc32(payload), sums])
         at += len(payload)
 
     for name, ids in docs:
@@ -303,29 +334,45 @@ class TokenFile:
         self.file.seek(at)
         return self.file.read(n)
 
-    def block(self, k: int, first_point: int = 0, stop: int | None = None) -> np.ndarray:
-        at, size, n, points, payload_sum, ids_sum = self.head["blocks"][k]
-        payload = self.read(at, size)
-        if crc32(payload) != payload_sum:
-            raise ValueError(f"block {k}: checksum of payload")
-        ids = self.coder.decode(payload, n, points, first_point, stop)
-        if not first_point and (stop is None or stop >= n) and crc32(ids.astype("<u4").tobytes()) != ids_sum:
-            raise ValueError(f"block {k}: checksum of ids")
+    def check(self) -> None:
+        """Reads all payloads against their checksums."""
+        for k, (at, size, *_, payload_sum, _) in enumerate(self.head["blocks"]):
+            if crc32(self.read(at, size)) != payload_sum:
+                raise ValueError(f"block {k}: checksum of payload")
+
+    def segment(self, k: int, stop: int | None = None) -> np.ndarray:
+        """Ids of the file's k-th segment, to the id before stop, from its checkpoint and its part of the stream alone."""
+        block, point = divmod(k, BLOCK_TOKENS // SEGMENT)
+        at, size, n, points, _, sums = self.head["blocks"][block]
+        here, states = self.coder.record(self.read(at + point * RECORD, RECORD))
+        end = int(np.frombuffer(self.read(at + (point + 1) * RECORD, 8), "<u8")[0]) if point + 1 < points else (size - points * RECORD) // 4
+        stream = np.frombuffer(self.read(at + points * RECORD + 4 * here, 4 * (end - here)), dtype="<u4")
+        left = n - point * SEGMENT
+        whole = min(left, SEGMENT)
+        wanted = whole if stop is None else min(whole, stop)
+        ids = self.coder.steps(states, stream, left, wanted)
+        if wanted == whole and crc32(ids.astype("<u4").tobytes()) != sums[point]:
+            raise ValueError(f"segment {k}: checksum of ids")
         return ids
 
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(id, ids before it in this file, its ids)."""
-        held, k, before = np.empty(0, dtype=np.uint32), 0, 0
-        for name, size in zip(self.names, self.sizes.tolist(), strict=True):
-            parts = [held]
-            have = len(held)
-            while have < size:
-                parts.append(self.block(k))
+    def documents(self, first: int, last: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(id, ids before it in this file, its ids) of the documents that start in the segments from first up to but not last.
+
+        The last of them may end in later segments, which are decoded as far as it goes.
+        """
+        starts = np.cumsum(self.sizes) - self.sizes
+        lo, hi = np.searchsorted(starts, [first * SEGMENT, last * SEGMENT])
+        held, base = np.empty(0, dtype=np.uint32), first * SEGMENT
+        for i in range(int(lo), int(hi)):
+            start, end = int(starts[i]), int(starts[i] + self.sizes[i])
+            parts, have = [held], base + len(held)
+            while have < end:
+                k = have // SEGMENT
+                parts.append(self.segment(k, end - k * SEGMENT if k >= last else None))
                 have += len(parts[-1])
-                k += 1
             held = np.concatenate(parts) if len(parts) > 1 else held
-            yield name, before, held[:size]
-            held, before = held[size:], before + size
+            yield self.names[i], start, held[start - base : end - base]
+            held, base = held[end - base :], end
 
 
 def write_corpus(docs: DataFrame, directory: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], np.ndarray]:
@@ -362,22 +409,27 @@ def write_corpus(docs: DataFrame, directory: str, vocabulary: str, id_col: str =
 
 
 def read_corpus(spark: SparkSession, directory: str, files: list[tuple[str, int]], freq: np.ndarray) -> DataFrame:
-    """(name, start, n_tokens, ids) of every document in the files; ids are little-endian unsigned 32-bit integers."""
+    """(name, start, n_tokens, ids) of every document in the files; ids are little-endian unsigned 32-bit integers.
+
+    Segments are dealt to tasks, TASK_SEGMENTS to each; a file of any size is decoded by as many tasks as it has runs of segments.
+    """
     starts = np.concatenate([[0], np.cumsum([n for _, n in files], dtype=np.int64)]).tolist()
+    runs = np.cumsum([0, *(-(-n // (SEGMENT * TASK_SEGMENTS)) for _, n in files)])
     names = ["name", "start", "n_tokens", "ids"]
 
+    def packed(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            for k in batch.column(0).to_pylist():
+            for run in batch.column(0).to_pylist():
                 coder = coder or Coder(freq)
                 filesystem, root = open_filesystem(directory)
+                k = int(np.searchsorted(runs, run, side="right")) - 1
+                first = (run - int(runs[k])) * TASK_SEGMENTS
                 rows, held = [], 0
-
-                def packed(rows: list) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
-
-                for name, before, ids in TokenFile(filesystem, f"{root}/{files[k][0]}", coder).documents():
+                for name, before, ids in TokenFile(filesystem, f"{root}/{files[k][0]}", coder).documents(first, first + TASK_SEGMENTS):
                     rows.append((name, starts[k] + before, len(ids), ids.astype("<u4").tobytes()))
                     held += len(ids)
                     if held >= 1 << 18:
@@ -386,7 +438,8 @@ def read_corpus(spark: SparkSession, directory: str, files: list[tuple[str, int]
                 if rows:
                     yield packed(rows)
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(read, "name long, start long, n_tokens long, ids binary")
+    n = int(runs[-1])
+    return spark.range(0, n, 1, min(max(1, n), MOST_TASKS)).mapInArrow(read, "name long, start long, n_tokens long, ids binary")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

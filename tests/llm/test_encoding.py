@@ -79,7 +79,7 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(ids, words.kind).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 700_000])
+@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 1_500_000])
 def test_blocks_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 300).astype(np.uint32)
     coder = token_files.Coder(token_files.scaled(np.bincount(ids, minlength=300)))
@@ -97,19 +97,63 @@ def test_scaled_frequencies():
     assert freq.sum() == 1 << token_files.SCALE_BITS and freq.min() == 1 and token_files.scaled(np.zeros(3, dtype=int)).sum() == 0
 
 
+def written(docs, coder):
+    out = io.BytesIO()
+    token_files.write_file(out, coder, iter(docs))
+    return bytearray(out.getvalue())
+
+
 def test_damaged_files_are_noticed(tmp_path):
     ids = np.arange(5000, dtype=np.uint32) % 50
     coder = token_files.Coder(token_files.scaled(np.bincount(ids)))
-    out = io.BytesIO()
-    token_files.write_file(out, coder, iter([(1, ids), (None, ids[:0])]))
-    data = bytearray(out.getvalue())
+    data = written([(1, ids), (None, ids[:0])], coder)
     (tmp_path / "a").write_bytes(data)
-    got = list(token_files.TokenFile(fs.LocalFileSystem(), str(tmp_path / "a"), coder).documents())
+    file = token_files.TokenFile(fs.LocalFileSystem(), str(tmp_path / "a"), coder)
+    file.check()
+    got = list(file.documents(0, 1))
     assert got[0][0] == 1 and (got[0][2] == ids).all() and got[1][:2] == (None, 5000)
     data[50] ^= 1
     (tmp_path / "a").write_bytes(data)
+    file = token_files.TokenFile(fs.LocalFileSystem(), str(tmp_path / "a"), coder)
+    with pytest.raises(ValueError):
+        list(file.documents(0, 1))
     with pytest.raises(ValueError):
-        list(token_files.TokenFile(fs.LocalFileSystem(), str(tmp_path / "a"), coder).documents())
+        file.check()
+
+
+def test_documents_that_span_blocks_are_read_by_segments(tmp_path):
+    r = np.random.default_rng(5)
+    sizes = [3, token_files.SEGMENT - 3, 1, token_files.BLOCK_TOKENS * 2 + 77, 5, token_files.SEGMENT * 2, 1, 400_000]
+    docs = [(i, (r.zipf(1.4, n) % 900).astype(np.uint32)) for i, n in enumerate(sizes)]
+    coder = token_files.Coder(token_files.scaled(np.bincount(np.concatenate([x for _, x in docs]), minlength=900)))
+    (tmp_path / "a").write_bytes(written(docs, coder))
+    file = token_files.TokenFile(fs.LocalFileSystem(), str(tmp_path / "a"), coder)
+    n = -(-sum(sizes) // token_files.SEGMENT)
+    for step in (1, 3, n):
+        got = [x for lo in range(0, n, step) for x in file.documents(lo, lo + step)]
+        assert [x[0] for x in got] == list(range(len(docs))) and [x[1] for x in got] == np.cumsum([0, *sizes[:-1]]).tolist()
+        assert all((x[2] == ids).all() for x, (_, ids) in zip(got, docs, strict=True))
+
+
+def test_a_document_longer_than_a_block_in_a_corpus(spark):
+    library = Tokenizer.from_file(WORDS)
+    text = "one two, three " * 400_000
+    d = shared_dir(spark, "t")
+    df = spark.createDataFrame([(1, "a"), (2, text), (3, "b c")], "doc_id long, text string")
+    rows = token_files.read_corpus(spark, d, *token_files.write_corpus(df, d, "word_bpe_49k.json")).orderBy("name").collect()
+    one = library.encode("one two, three ", add_special_tokens=False).ids
+    assert len(one) * 400_000 > token_files.BLOCK_TOKENS
+    assert np.frombuffer(rows[1].ids, "<u4").tolist() == one * 400_000 + [2] and rows[2].start == rows[1].start + rows[1].n_tokens
+
+
+def test_word_tables_age(monkeypatch):
+    monkeypatch.setattr(token_files, "KEEP_WORDS", 200)
+    words, library, r = token_files.WordIds(WORDS), Tokenizer.from_file(WORDS), random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(f"{r.choice('abcdé')}{r.choice(['x', 'yz', '1', 'İ', 's'])}{r.randrange(90)}{r.choice(['', '.', ',!', '%%'])}" for _ in range(60)) for _ in range(3)]
+        for text, ids in zip(texts, words.encode(texts), strict=True):
+            assert np.frombuffer(ids, words.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(words.words) < 500
 
 
 def test_token_file_query(spark):
