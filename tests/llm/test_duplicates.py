@@ -249,12 +249,64 @@ def test_a_passage_of_frequent_lines_links_its_holders(spark):
 
 
 def test_up_to_three_holders_of_a_seed_all_meet():
-    h, doc, pos = np.array([1, 1, 1, 2, 2, 2, 2], dtype=np.uint64), np.array([5, 6, 7, 5, 5, 8, 8]), np.arange(7)
-    rows, partners, _, holders = passages.linked(h, doc, pos)
-    assert sorted(zip(rows.tolist(), partners.tolist(), strict=True)) == [(1, 0), (2, 0), (2, 1), (4, 5), (5, 3), (6, 3)]
+    h, doc, context = np.array([1, 1, 1, 2, 2, 2, 2], dtype=np.uint64), np.array([5, 6, 7, 5, 5, 8, 8]), np.array([9, 8, 7, 1, 1, 1, 1], dtype=np.uint32)
+    rows, partners, _, holders = passages.linked(h, doc, context)
+    assert sorted(zip(rows.tolist(), partners.tolist(), strict=True)) == [(1, 0), (2, 0), (2, 1), (4, 5), (5, 3), (5, 4), (6, 3), (6, 4)]
     assert holders.tolist() == [3, 2]
 
 
+def test_seeds_are_packed_and_unpacked():
+    r = np.random.default_rng(3)
+    for most in (50, 90_000):
+        doc = np.repeat(np.array([7, -3, 1 << 60]), [5, 1, 900])
+        pos = np.concatenate([np.sort(r.choice(most, n, replace=n > most)) for n in (5, 1, 900)]).astype(np.int32)
+        h, context = r.integers(0, 1 << 40, len(doc)).astype(np.uint64), r.integers(0, 1 << 24, len(doc)).astype(np.uint32)
+        got = passages.unpacked(11, len(doc), passages.packed_seeds(h, doc, pos, context))
+        assert (got[0] == (h & np.uint64(0xFFFFFFFF) | np.uint64(11 << 32))).all() and all((x == y).all() for x, y in zip(got[1:], (doc, pos, context), strict=True))
+
+
+def test_a_passage_is_found_among_many_holders_of_its_parts(spark):
+    r = random.Random(21)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    long = some(300)
+    texts = [some(20) + long + some(20), some(50) + long + some(9)]
+    texts += [some(30) + long[k : k + 40] + some(30) for k in range(0, 261, 9)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for parts in (1, 4, 16):
+        got = [x for x in passages.shared_passages(df.repartition(parts)).collect()]
+        assert {frozenset((x.doc_id, x.other_id)) for x in got} == {frozenset((0, 1))}
+        spans = sorted((x.start_word, x.end_word) if x.doc_id == 0 else (x.other_start, x.other_end) for x in got)
+        assert min(spans)[0] <= 20 and max(x[1] for x in spans) >= 320 and sum(e - s for s, e in spans) >= 300
+
+
+def test_boilerplate_corpus_against_all_pairs(spark):
+    """Exact stretches of 50 words that two documents share are covered, whatever the partitions, but for very few of barely 50."""
+    r = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(400)]
+    some = lambda n: r.choices(vocabulary, k=n)
+    blocks = [some(r.randrange(20, 90)) for _ in range(25)]
+    docs = []
+    for _ in range(60):
+        words = []
+        for _ in range(r.randrange(2, 7)):
+            block = r.choice(blocks)
+            lo = r.randrange(0, max(1, len(block) - 40))
+            words += some(r.randrange(3, 30)) + block[lo : lo + r.randrange(30, 90)]
+        docs.append(words)
+    holders = {}
+    for i, words in enumerate(docs):
+        for k in range(len(words) - 49):
+            holders.setdefault(tuple(words[k : k + 50]), set()).add((i, k))
+    wanted = {(i, k) for at in holders.values() if len({i for i, _ in at}) > 1 for i, k in at}
+    assert len(wanted) > 300
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    for parts in (1, 4, 16):
+        got = passages.shared_passages(df.repartition(parts)).collect()
+        spans = [x for g in got for x in ((g.doc_id, g.start_word, g.end_word), (g.other_id, g.other_start, g.other_end))]
+        covered = {(d, k) for d, s, e in spans for k in range(s, e - 49)}
+        assert len(wanted - covered) <= 0.005 * len(wanted)
+
+
 def test_gap_alignment():
     assert passages.matched([1, 2, 3, 4], [1, 9, 3, 4]) == 3
     assert passages.matched([], [1]) == 0 and passages.matched([1, 2], [1, 5, 2]) == 2
