@@ -1,16 +1,19 @@
-"""Secret scan: fixed patterns, and a character convolutional network over every further candidate with its context.
+"""Secret scan: fixed patterns, and a character convolutional network over every candidate with its context.
 
-Three fixed kinds of finding are always kept. Every other run of key characters with letters and digits is a candidate; a small
-numpy network reads its characters and those around it and adds the likely secrets as a fourth kind.
+Three fixed kinds of finding are always kept. A candidate is a run of LEAST or more key characters outside them that is no
+ordinary word (letters in one case or capitalised, up to 19, or such parts between hyphens or points), and any run of LEAST or
+more after a cue such as `key:`; what a fixed finding leaves of a run is a candidate too. A numpy network reads BODY characters of
+the run and those around it; a longer run is read whole, by windows of BODY characters every STRIDE. Likely secrets are
+added as a fourth kind, neighbouring windows as one span. Fixed findings are scored as well (`score` in `scan`).
 
 The network is trained in the driver on `findings` labelled findings made by a seeded generator (keys, tokens and passwords
 in assignments, headers, URLs and plain text against paths, links, names, numbers, versions and ids in like contexts). A
 third of them calibrates the score (Platt scaling) and sets the threshold: the highest that still finds RECALL of the held-out
 secrets. The number of findings is the bound of the sample; nothing of it depends on the corpus.
 
-Whole texts are scanned. Defined cases: null and empty texts have no finding; repeated rows have the same findings; offsets
-are code points; a run of any length is one candidate, of which the network reads both ends; a table without rows gives none;
-other columns pass through, and columns named as the outputs are replaced.
+Whole texts are scanned. Defined cases: null and empty texts have no finding; very long texts and runs are read whole, windows
+BATCH at a time; repeated rows have the same findings; of findings that begin together the fixed kinds come first; offsets
+are code points; a table without rows gives none; other columns pass through, and columns named as the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -31,12 +34,18 @@ ASSIGN_CUES, ASSIGN_LEAST = (b"passw", b"secret", b"token", b"api"), 8
 ACCESS, ACCESS_LEAST = re.compile(r"AKIA[A-Z0-9]+"), 16
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-BEFORE, HEAD, TAIL, AFTER = 32, 32, 16, 8
-WIDTH = BEFORE + HEAD + TAIL + AFTER
+LEAST = 8
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{8,}")
+#: Runs that are words, or words joined by single hyphens or points, with closing signs.
+ORDINARY = re.compile(r"[-.=_/+]*(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}|[0-9]{1,8})(?:[-.](?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}|[0-9]{1,8}))*[-.=_/+]*")
+CUE = re.compile(r"""(?:key|token|secret|passw(?:or)?d|passphrase|pwd|auth(?:orization)?|bearer|basic|credentials?|private)["']?\x20*[:=\x20]\x20*["']?$""", re.IGNORECASE | re.ASCII)
+BEFORE, BODY, AFTER = 32, 48, 8
+WIDTH = BEFORE + BODY + AFTER
+#: Places between two windows of a long run; windows that the network reads at once.
+STRIDE, BATCH = 16, 4096
 
 #: Labelled findings that the network is trained on.
-FINDINGS = 4000
+FINDINGS = 8000
 RECALL = 0.98
 
 
@@ -52,26 +61,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def mixed(run: str) -> bool:
-    """Letters and digits."""
-    return any(map(str.isdigit, run)) and any(map(str.isalpha, run))
-
-
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the runs outside the spans taken."""
-    out, at = [], 0
-    taken = sorted((s, e) for s, _, e in taken)
-    reach = 0
-    for m in CANDIDATE.finditer(text):
+    """(start, end) of the candidates outside the spans taken."""
+    out: list[tuple[int, int]] = []
+    spans = sorted((s, e) for s, _, e in taken)
+    at = reach = 0
+    for m in RUN.finditer(text):
         start, end = m.span()
-        while at < len(taken) and taken[at][0] < end:
-            reach = max(reach, taken[at][1])
+        pieces, here = [], start
+        while at < len(spans) and spans[at][1] <= start:
             at += 1
-        if reach <= start and mixed(m.group()):
-            out.append((start, end))
+        k = at
+        reach = 0
+        while k < len(spans) and spans[k][0] < end:
+            if spans[k][1] > start:
+                pieces.append((here, spans[k][0]))
+                here = max(here, spans[k][1])
+            k += 1
+        pieces.append((here, end))
+        for s, e in pieces:
+            if e - s >= LEAST and (not ORDINARY.fullmatch(text, s, e) or CUE.search(text, max(0, s - 24), s)):
+                out.append((s, e))
     return out
 
 
+def windows_of(start: int, end: int) -> list[tuple[int, int]]:
+    """The run, or windows of BODY characters that cover it."""
+    if end - start <= BODY:
+        return [(start, end)]
+    return [(s, s + BODY) for s in [*range(start, end - BODY, STRIDE), end - BODY]]
+
+
 # the network ------------------------------------------------------------------------------------------------------------
 
 #: Classes of characters: 0 stands for nothing, then printable ASCII, then any other letter, any other character.
@@ -84,11 +104,9 @@ def char_class(c: str) -> int:
 
 
 def window(text: str, start: int, end: int) -> list[int]:
-    """Classes of the context before, the run's head and tail, and the context after."""
-    before, after = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
-    head = text[start : min(end, start + HEAD)]
-    tail = text[max(start, end - TAIL) : end]
-    return [*[0] * (BEFORE - len(before)), *map(char_class, before), *map(char_class, head), *[0] * (HEAD - len(head)), *[0] * (TAIL - len(tail)), *map(char_class, tail), *map(char_class, after), *[0] * (AFTER - len(after))]
+    """Classes of the context before, up to BODY characters, and the context after."""
+    before, body, after = text[max(0, start - BEFORE) : start], text[start : min(end, start + BODY)], text[end : end + AFTER]
+    return [*[0] * (BEFORE - len(before)), *map(char_class, before), *map(char_class, body), *[0] * (BODY - len(body)), *map(char_class, after), *[0] * (AFTER - len(after))]
 
 
 class CharNet:
@@ -100,7 +118,7 @@ class CharNet:
         r = np.random.default_rng(seed)
         self.p = {"E": r.standard_normal((N_CLASSES, self.DIM)) * 0.3, "K": r.standard_normal((self.KERNEL * self.DIM, self.FILTERS)) / np.sqrt(self.KERNEL * self.DIM), "b": np.zeros(self.FILTERS), "o": np.zeros(6 * self.FILTERS), "d": np.zeros(1)}
         n = WIDTH - self.KERNEL + 1
-        edges = [0, BEFORE, BEFORE + HEAD + TAIL, n]
+        edges = [0, BEFORE, BEFORE + BODY, n]
         self.regions = [(a, b) for a, b in zip(edges, edges[1:], strict=False)]
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
@@ -157,8 +175,11 @@ class CharNet:
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
 
+    def scores(self, windows: list[list[int]]) -> np.ndarray:
+        return self.probability(self.logits(np.array(windows, dtype=np.int64).reshape(-1, WIDTH)))
+
     def secret(self, windows: list[list[int]]) -> np.ndarray:
-        return self.probability(self.logits(np.array(windows, dtype=np.int64).reshape(-1, WIDTH))) >= self.threshold
+        return self.scores(windows) >= self.threshold
 
 
 def platt(logit: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -181,43 +202,80 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> tuple[list[tuple[str,
     chars = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(len(alphabet), size=k))
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     between = lambda a, b: int(r.integers(a, b + 1))
-    syllable = lambda: chars("bcdfghklmnprstvz", 1) + chars("aeiou", 1) + pick(["", "n", "r", "s"])
+    onsets, vowels, codas = [*"bcdfghklmnprstvwz", "th", "sh", "ch", "st", "br", "wh", "pf", "sch"], [*"aeiouaeiou", "ea", "io", "ie", "au", "ei"], ["", "", "", "n", "r", "s", "d", "t", "ng", "nd", "st", "tz", "ch"]
+    syllable = lambda: pick(onsets) + pick(vowels) + pick(codas)
     word = lambda: "".join(syllable() for _ in range(between(1, 4)))
     words = lambda k: " ".join(word() for _ in range(k))
     number = lambda a, b: chars(digit, between(a, b))
+    letters = lower + upper
     secret = [
-        lambda: chars(lower + upper + digit, between(20, 64)),
-        lambda: chars(lower + upper + digit + "+/", between(22, 86)) + pick(["", "=", "=="]),
+        lambda: chars(letters + digit, between(20, 64)),
+        lambda: chars(letters + digit, between(20, 64)),
+        lambda: chars(letters + digit + "+/", between(22, 86)) + pick(["", "=", "=="]),
         lambda: chars(upper + digit, between(16, 40)),
         lambda: chars(lower + digit, between(24, 48)),
-        lambda: pick(["key", "sk", "pk", "tok", "app"]) + pick(["_", "-", "_live_", "_test_"]) + chars(lower + upper + digit, between(20, 40)),
-        lambda: ".".join(chars(lower + upper + digit + "_-", between(20, 60)) for _ in range(3)),
+        lambda: chars(letters, between(24, 64)),
+        lambda: chars(pick([lower, upper]), between(32, 64)),
+        lambda: pick(["key", "sk", "pk", "tok", "app"]) + pick(["_", "-", "_live_", "_test_"]) + chars(letters + digit, between(20, 40)),
+        lambda: ".".join(chars(letters + digit + "_-", between(20, 60)) for _ in range(3)),
     ]
+    #: Shorter ones, which only a cue before them tells.
+    name = lambda: pick([word(), chars(lower, between(1, 3)), syllable() + number(0, 2)])
+    short = [lambda: chars(letters + digit, between(9, 16)), lambda: chars(lower + digit, between(10, 18)), lambda: chars(letters, between(12, 20)), lambda: chars(letters + digit + "_-.", between(10, 18))]
+    path = lambda: "".join(pick(["/", "/", ".", "-", "_"]) + word() for _ in range(between(3, 9)))
     innocent = [
         lambda: f"{word()}-{word()}-{word()}-{number(1, 4)}",
         lambda: f"//{pick(['www.', 'blog.', ''])}{word()}{word()}.example.{pick(['com', 'org', 'net'])}/{word()}/{number(1, 6)}",
         lambda: f"/{word()}/{word()}/{word()}{number(1, 3)}.{pick(['html', 'txt', 'png', 'json'])}",
         lambda: f"{word()}.{word()}{number(1, 4)}.{word()}.{word()}",
         lambda: f"{number(4, 4)}-{number(2, 2)}-{number(2, 2)}T{number(2, 2)}",
-        lambda: f"{word()}{word()}{word()}{word()}{word()}{number(1, 4)}",
+        lambda: f"{word()}{word()}{word()}{word()}{word()}{number(0, 4)}",
         lambda: f"v{number(1, 2)}.{number(1, 2)}.{number(1, 3)}-{word()}.{number(1, 2)}",
-        lambda: f"{word()}_{word()}_{word()}_{number(1, 5)}",
+        lambda: f"{word()}_{word()}_{word()}_{number(0, 5)}",
         lambda: f"{number(8, 12)}{pick(['-', '_', '.'])}{word()}{word()}",
-        lambda: "-".join(number(3, 5) for _ in range(3)) + pick(["x", "ext"]) + number(1, 3),
-        lambda: word() + pick(["-", "=", "_", "."]) * between(12, 30) + number(1, 2),
-        lambda: "".join(word().capitalize() for _ in range(between(4, 7))) + number(1, 2),
+        lambda: "-".join(number(3, 5) for _ in range(3)) + pick(["", "x", "ext"]) + number(0, 3),
+        lambda: word() + pick(["-", "=", "_", "."]) * between(8, 30) + number(0, 2),
+        lambda: "".join(word().capitalize() for _ in range(between(2, 7))) + number(0, 2),
+        lambda: word() + word() + word() + word(),
+        lambda: f"{word()}{word()}/{word()}{word()}",
+        lambda: "".join(word() for _ in range(between(5, 12))),
+        lambda: (word() + word() + word()).upper(),
+        lambda: number(8, 16) + pick(["", "." + number(2, 4)]),
+        path,
+        path,
+        lambda: path() + path() + path(),
+        lambda: f"{word()}{pick(['=', '_', '.'])}{word()}{number(1, 4)}",
+        lambda: pick(["", "_"]) + "_".join(name() for _ in range(between(2, 5))),
+        lambda: ".".join(name() for _ in range(between(2, 4))) + pick(["", "_" + name(), "." + name().upper()]),
+        lambda: "_".join(name() for _ in range(between(2, 4))).upper(),
+        lambda: name() + "".join(name().capitalize() for _ in range(between(1, 4))) + pick(["", "=" + name(), "." + name()]),
+        lambda: f"{pick(['mail', word()])}{number(0, 2)}.{pick(['example', word()])}.{pick(['com', 'org', 'net'])}",
+        lambda: number(12, 19),
     ]
+    #: Words after a cue that are no secrets.
+    plain_word = [lambda: word() + word() + word(), lambda: f"{word()}{word()}-{word()}", lambda: f"{word()}_{word()}", lambda: f"{word()}{word()}.{word()}()", lambda: word() + word() + word() + "."]
     cues = ["key: ", "auth=", "credential ", "bearer ", "Authorization: Basic ", "signature = \"", "pwd='", "private ", "export KEY=", "access "]
-    plain = ["see ", "at ", "page ", "in ", "https:", "file ", "id ", "of ", "(", "ref. ", "v "]
+    plain = ["see ", "at ", "page ", "in ", "https:", "file ", "id ", "of ", "(", "ref. ", "v ", "user@", "name.13@", "import ", "= ", "[", "(*", "def "]
     out, y = [], []
     for k in range(n):
         is_secret = k % 2 == 0
-        run = pick(secret)() if is_secret else pick(innocent)()
-        while len(run) < 16 or not mixed(run):
-            run += pick([number(2, 4), word()]) if not is_secret else chars(lower + digit, 4)
-        before = words(between(0, 8)) + pick([" ", "\n", ". "]) + (pick(cues) if r.random() < (0.5 if is_secret else 0.05) else pick(plain) if r.random() < 0.4 else "")
+        after_cue = r.random() < (0.5 if is_secret else 0.2)
+        brief = after_cue and r.random() < 0.4
+        run = pick(short if brief else secret)() if is_secret else pick(plain_word if brief else innocent)()
+        while len(run) < LEAST:
+            run += chars(lower + digit, 4) if is_secret else word()
+        lead = pick(cues) if after_cue else pick(plain) if r.random() < 0.4 else ""
+        lo, hi = 0, len(run)
+        if is_secret and not brief and r.random() < 0.2:  # within a longer run
+            head, tail = pick(["", path() + "/", word() + "."]), pick(["", "/" + word(), path()])
+            lo, hi, run = len(head), len(head) + len(run), head + run + tail
+        before = words(between(0, 8)) + pick([" ", "\n", ". "]) + lead
         after = pick(['"', "'", " ", "\n", ",", ".", ")", "", " " + words(3)])
-        out.append((before + run + after, len(before), len(before) + len(run)))
+        spots = windows_of(len(before), len(before) + len(run))
+        if is_secret:  # a window that shows enough of the secret
+            spots = [(s, e) for s, e in spots if min(e, len(before) + hi) - max(s, len(before) + lo) >= min(hi - lo, 20)] or [(len(before) + lo, len(before) + min(hi, lo + BODY))]
+        start, end = pick(spots)
+        out.append((before + run + after, start, end))
         y.append(float(is_secret))
     return out, np.array(y)
 
@@ -229,27 +287,55 @@ def trained(findings: int = FINDINGS, seed: int = 7) -> CharNet:
     return CharNet(seed).fit(x, y)
 
 
+def scored_spans(texts: list[str | None], net: CharNet, base_scores: bool = False) -> list[list[tuple[int, int, int, float]]]:
+    """(start, kind, end, score) of each text's findings, by start, then kind; with base_scores, fixed findings are scored too."""
+    base = [base_spans(t or "") for t in texts]
+    pending: list[tuple[int, int, int, int]] = []
+    out: list[list[tuple[int, int, int, float]]] = [[] if base_scores else [(*f, 1.0) for f in found] for found in base]
+    last: dict[int, int] = {}
+
+    def flush() -> None:
+        for (k, kind, s, e), p in zip(pending, net.scores([window(texts[k], s, e) for k, _, s, e in pending]).tolist(), strict=True):
+            if kind < 3:
+                out[k].append((s, kind, e, p))
+            elif p >= net.threshold:
+                i = last.get(k, -1)
+                if i >= 0 and out[k][i][2] >= s:  # windows that overlap are one span
+                    before = out[k][i]
+                    out[k][i] = (before[0], 3, max(e, before[2]), max(p, before[3]))
+                else:
+                    last[k] = len(out[k])
+                    out[k].append((s, 3, e, p))
+        pending.clear()
+
+    for k, (text, found) in enumerate(zip(texts, base, strict=True)):
+        if base_scores:
+            pending += [(k, kind, s, e) for s, kind, e in found]
+        for s, e in candidates(text, found) if text else ():
+            for spot in windows_of(s, e):
+                pending.append((k, 3, *spot))
+                if len(pending) >= BATCH:
+                    flush()
+    flush()
+    return [sorted(found) for found in out]
+
+
 def spans(texts: list[str | None], net: CharNet) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of each text's findings, by start, then kind."""
-    base = [base_spans(t or "") for t in texts]
-    runs = [(k, s, e) for k, (t, found) in enumerate(zip(texts, base, strict=True)) if t for s, e in candidates(t, found)]
-    for (k, s, e), hit in zip(runs, net.secret([window(texts[k], s, e) for k, s, e in runs]), strict=True):
-        if hit:
-            base[k].append((s, 3, e))
-    return [sorted(found) for found in base]
+    return [[f[:3] for f in found] for found in scored_spans(texts, net)]
 
 
 # Spark ------------------------------------------------------------------------------------------------------------------
 
 
 def scan(df: DataFrame, text_col: str = "text", out: str = "findings", findings: int = FINDINGS) -> DataFrame:
-    """df with an array of (kind, start, end): the findings of every whole text."""
+    """df with an array of (kind, start, end, score): the findings of every whole text; score is the network's, for fixed kinds too."""
     net = trained(findings)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    schema = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    schema = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 
     def make():
-        return lambda texts: [[[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found] for found in spans(texts, net)]]
+        return lambda texts: [[[{"kind": KINDS[k], "start": s, "end": e, "score": p} for s, k, e, p in found] for found in scored_spans(texts, net, base_scores=True)]]
 
     return with_columns(df, text_col, [(out, schema, kind)], make)
 
