@@ -5,11 +5,12 @@ its hash; a passage is the mean of its words' rows with repetition measures adde
 attention weighs the passages, and the weighted sum gives the score. Only documents have labels; which passages matter is
 learnt. Scoring reads whole texts, long ones in runs of words.
 
-The net is fitted in the driver on a bounded sample: at most `sample` labelled documents, taken by the hash of their id, each
-with at most FIT_PASSAGES evenly spaced passages, which the executors encode. Rows with crc32(id as text) mod 5 = 0 are held
-out. Labels, language, source and id are no inputs.
+The net is fitted in the driver on a bounded sample: at most `sample` labelled documents, taken by the hash of their id, with all
+their passages, which the executors encode (N_INPUTS 4-byte numbers for 64 words, so at most their texts' size). Rows with
+crc32(id as text) mod 5 = 0 are held out. Labels, language, source and id are no inputs.
 
-Defined cases: null, empty and blank texts are one passage of zeros and get a score; labels that are null or of held-out rows
+Defined cases: null, empty and blank texts are one passage of zeros and get a score; very long texts are read whole, in runs of
+words; ties cannot matter, as a score depends on its own text only; labels that are null or of held-out rows
 teach nothing; repeated label rows count as their mean; without any label every score is 0.5; repeated documents score
 alike; other columns pass through, and columns named as the outputs are replaced.
 """
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pagequarry.llm._common import table, with_columns
 
 PASSAGE = 64
-FIT_PASSAGES = 32
 #: Most labelled documents that the net is fitted on.
 SAMPLE = 4000
 THRESHOLD = 0.3
@@ -210,12 +210,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     def make():
         words = known_words()
-
-        def work(texts: list) -> list:
-            bags = encode_texts(texts, words)
-            return [[b[np.unique(np.linspace(0, len(b) - 1, FIT_PASSAGES).astype(int))].astype("<f4").tobytes() for b in bags]]
-
-        return work
+        return lambda texts: [[b.astype("<f4").tobytes() for b in encode_texts(texts, words)]]
 
     encoded = with_columns(joined, "_text", [("_bag", T.BinaryType(), pa.binary())], make).drop("_text")
     rows = encoded.orderBy(F.xxhash64("_id"), "_id", "_bag").limit(sample).collect()
