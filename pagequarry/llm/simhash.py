@@ -10,14 +10,16 @@ fingerprints (32 MB): that bound is a property of the key, no row is dropped to
 
 Comparison. Blocks arrive sorted. Their open bits are stored vertically, one word row for each bit; for a run of rows the
 distances to a block's 64-row words are counted by carry-save adders in bitwise form, saturating above the radius, and words
-whose 64 rows all exceed it are abandoned. Inside a block links only lower a label, so a block of m rows gives at most m - 1
-links, never its pairs.
+whose 64 rows all exceed it are abandoned. A block of over SPLIT rows is cut into sub-blocks by the same argument, so its work
+grows with its rows (65,536 rows of 22 open bits take about a second). Inside a block links only lower a label, so a block of m
+rows gives at most m - 1 links, never its pairs.
 
 Components. Links between fingerprints are contracted by alternating large-star and small-star steps with a checkpoint each;
 hubs are pre-aggregated, and only joins touch them, which adaptive execution can split.
 
 Defined cases: null, empty and blank texts have no word and fingerprint 0, linked like any other; fewer words than a shingle:
-the whole sequence is the one shingle; rows with a null id link others but name no component; repeated rows stay as rows; a
+the whole sequence is the one shingle; very long texts are hashed in runs of words; a bit set in exactly half the hashes (a tie)
+is 0; rows with a null id link others but name no component; repeated rows stay as rows; a
 table without rows gives none; other columns are ignored.
 """
 
@@ -162,6 +164,8 @@ def spread(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 PAIR_WORDS = 1 << 17
 #: Rows of small blocks are compared together, at most so many rows at a time.
 GATHER_ROWS = 1 << 15
+#: Rows of a block beyond which it is cut up once more.
+SPLIT = 4096
 
 
 def small_blocks(values: np.ndarray, block: np.ndarray, open_bits: list[int], radius: int) -> np.ndarray:
@@ -182,15 +186,47 @@ def small_blocks(values: np.ndarray, block: np.ndarray, open_bits: list[int], ra
     return labels
 
 
+def compared(labels: np.ndarray, rows: np.ndarray, values: np.ndarray, open_bits: list[int], radius: int) -> None:
+    """Lowers the labels of linked rows among `rows`, whose values agree on all but the open bits."""
+    some = values[rows]
+    planes = planes_of(some, open_bits)
+    step = max(1, PAIR_WORDS // planes.shape[1])
+    for lo in range(0, len(some), step):
+        q, v = within(planes, some[lo : lo + step], open_bits, radius)
+        keep = v < len(some)
+        spread(labels, rows[q[keep] + lo], rows[v[keep]])
+
+
 def large_block(values: np.ndarray, open_bits: list[int], radius: int) -> np.ndarray:
-    """Labels for the rows of one block."""
+    """Labels for the rows of one block.
+
+    More than SPLIT rows are cut up once more: of radius + 4 parts of the open bits, linked rows agree on all but `radius`, so for
+    each choice of four there are sub-blocks of 2^8 rows at most. Work grows with the rows, not their square.
+    """
     labels = np.arange(len(values))
-    planes = planes_of(values, open_bits)
-    step = max(1, PAIR_WORDS // planes.shape[1])
-    for lo in range(0, len(values), step):
-        q, v = within(planes, values[lo : lo + step], open_bits, radius)
-        keep = v < len(values)
-        spread(labels, q[keep] + lo, v[keep])
+    if len(values) <= SPLIT:
+        compared(labels, labels.copy(), values, open_bits, radius)
+        return labels
+    n = radius + 4
+    cuts = [len(open_bits) * i // n for i in range(n + 1)]
+    for some in combinations(range(n), n - radius):
+        fixed = [b for i in some for b in open_bits[cuts[i] : cuts[i + 1]]]
+        rest = [b for b in open_bits if b not in fixed]
+        key = values & np.uint64(sum(1 << b for b in fixed))
+        order = np.argsort(key, kind="stable")
+        starts = np.nonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))[0]
+        sizes = np.diff(np.append(starts, len(order)))
+        ends, at = np.cumsum(np.where((sizes > 1) & (sizes <= 64), sizes, 0)), 0
+        small = order[np.repeat((sizes > 1) & (sizes <= 64), sizes)]
+        block = np.repeat(np.arange(len(sizes)), sizes)[np.repeat((sizes > 1) & (sizes <= 64), sizes)]
+        while at < len(small):
+            stop = int(ends[np.searchsorted(ends, at + GATHER_ROWS, side="left")]) if at + GATHER_ROWS < len(small) else len(small)
+            rows = small[at:stop]
+            found = small_blocks(values[rows], block[at:stop], rest, radius)
+            spread(labels, rows, rows[found])
+            at = stop
+        for k in np.nonzero(sizes > 64)[0].tolist():
+            compared(labels, order[starts[k] : starts[k] + sizes[k]], values, rest, radius)
     return labels
 
 
