@@ -129,8 +129,7 @@ def with_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataTyp
 
 def word_count(text: Column) -> Column:
     """Words of a text between SPACES; 0 for null or blank texts."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_CLASS + "+"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACE_CLASS.replace("[", "[^") + "+")).cast("long")
 
 
 def tokenizer_path(name: str) -> str:

@@ -3,51 +3,52 @@
 Native: DataFrame expressions only.
 
 Documents are first summed to cells (source, language, topic) of tokens; partial sums leave no hot source to a task. The cells'
-weights are raked: scaled in turn so that each source's, language's and topic's sum meets its target, for a fixed number of
-rounds. A cell's ratio of raked to own tokens is what its documents deserve. One factor c turns ratios into probabilities
-min(1, c * ratio) whose expected tokens are `budget` of all: with cells by falling ratio, c is settled by running sums. A
-document stays if the hash of its id and the seed, as a fraction, lies below its cell's probability.
+weights are raked: scaled in turn so that each source's, language's and topic's sum meets its target, by sums of each margin joined
+back, for a number of rounds or until `residual` is within a tolerance. A cell's ratio of raked to own tokens is what its documents
+deserve. One factor c turns ratios into probabilities min(1, c * ratio) whose expected tokens are `budget` of all: starting from no
+cell at 1, cells that c takes over 1 are set to 1 and c is settled anew from sums, until none is added. A document stays if the
+hash of its id and the seed, as a fraction, lies below its cell's probability.
 
-Targets are tempered shares: a category's own share to the power of its exponent, scaled to sum 1.
+Targets of a margin are shares by category, given by the caller (categories without one get none), or a power that tempers the
+categories' own shares. Topics are a column of the caller, or told by cues: the topic with the most cues for its usual rate, if that is reached.
 
-The cell table has one row for each combination that occurs; its size follows the taxonomies, not the corpus.
+The cell table has one row for each combination that occurs; its size follows the taxonomies, not the corpus, and no task gathers it.
 
 Defined cases: a null source or language is the category '(none)'; null, empty and blank texts have 0 tokens and topic 'prose';
-cells of 0 tokens have ratio 1; rows with a null id share one fraction; repeated rows stay or go together; a table without
-rows gives none; other columns pass through `mix`.
+very long texts are read whole; topics that tie go by their order; cells that tie in ratio have one probability; cells of 0 tokens
+have ratio 1; rows with a null id share one fraction; repeated rows stay or go together; a table without rows gives none; other
+columns pass through `mix`, also if they are named as its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagequarry.llm._common import SPACE_CLASS, materialised, table, word_count
 
-#: Topics by the first cue in a text: (topic, pattern of its cues); a text without any is PROSE.
+#: Topics by cues: (topic, pattern of its cues, words to a cue at its usual rate).
 TOPICS = (
-    ("legal", "[Ll]icen[sc]e|[Cc]opyright|[Ww]arranty"),
-    ("web", "https?:|[A-Za-z0-9]@[A-Za-z0-9]"),
-    ("code", "[{};]"),
-    ("tabular", "[|]"),
+    ("legal", "[Ll]icen[sc]e|[Cc]opyright|[Ww]arrant", 100),
+    ("web", "https?:|[A-Za-z0-9]@[A-Za-z0-9]", 100),
+    ("code", "[{};]", 12),
+    ("tabular", "[|]", 12),
 )
 PROSE = "prose"
+#: Margins and their targets: powers of the own shares, or shares by category.
 MARGINS = (("source", 0.7), ("lang", 0.5), ("topic", 0.8))
 ROUNDS = 8
-#: Rounds between two written cell tables.
-WRITE_ROUNDS = 4
 BUDGET, SEED = 0.8, "mix-1"
 
 
-def any_cue() -> str:
-    return "|".join(pattern for _, pattern in TOPICS)
-
-
-def topic_of(text: Column) -> Column:
-    cue = F.regexp_extract(F.coalesce(text, F.lit("")), any_cue(), 0)
+def topic_of(text: Column, tokens: Column) -> Column:
+    """The topic whose cues, times its words to a cue, are most and no fewer than the tokens."""
+    full = F.coalesce(text, F.lit(""))
+    rates = [F.regexp_count(full, F.lit(pattern)) * words for _, pattern, words in TOPICS]
+    best = F.greatest(*rates)
     found = F.lit(PROSE)
-    for topic, pattern in reversed(TOPICS):
-        found = F.when(cue.rlike(f"^(?:{pattern})"), topic).otherwise(found)
-    return F.when(cue == "", F.lit(PROSE)).otherwise(found)
+    for (topic, _, _), rate in reversed(list(zip(TOPICS, rates, strict=True))):
+        found = F.when(rate == best, topic).otherwise(found)
+    return F.when((best > 0) & (best >= tokens), found).otherwise(PROSE)
 
 
 def category(column: str) -> Column:
@@ -60,65 +61,101 @@ def fraction(id_col: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def raked(cells: DataFrame, margins=MARGINS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (the margins' columns, tokens) with `weight`, whose sums by margin meet the tempered targets."""
-    whole = Window.partitionBy(F.lit(1))
-    out = cells.withColumn("weight", F.col("tokens"))
-    for name, power in margins:
-        share = F.sum("tokens").over(Window.partitionBy(name))
-        out = out.withColumn("_tempered", F.pow(share, F.lit(power)))
-        # each category counts once: its cells share its tempered weight
-        out = out.withColumn(f"_{name}", F.col("_tempered") / F.sum(F.try_divide("_tempered", F.count(F.lit(1)).over(Window.partitionBy(name)).cast("double"))).over(whole) * F.sum("tokens").over(whole))
-    out = out.drop("_tempered")
-    for k in range(rounds):
-        for name, _ in margins:
-            out = out.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"_{name}"), F.sum("weight").over(Window.partitionBy(name))), F.lit(0.0)))
-        if (k + 1) % WRITE_ROUNDS == 0:
-            out = materialised(out, "cells")
-    return out.drop(*(f"_{name}" for name, _ in margins))
-
-
-def calibrated(cells: DataFrame, keys: list[str], budget: float = BUDGET) -> DataFrame:
+def total(cells: DataFrame, *columns: str) -> tuple[float, ...]:
+    """Sums of columns over all cells, added up in partial sums."""
+    return tuple(float(x or 0) for x in cells.agg(*[F.sum(c) for c in columns]).first())
+
+
+def with_goals(cells: DataFrame, margins) -> DataFrame:
+    """cells with the target `_<margin>` of each margin's category; targets sum to all tokens."""
+    (tokens,) = total(cells, "tokens")
+    out = cells
+    for name, target in margins:
+        shares = cells.groupBy(name).agg(F.sum("tokens").alias("_own"))
+        if isinstance(target, dict):
+            share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in target.items() for x in pair]), F.col(name)), F.lit(0.0)).cast("double") if target else F.lit(0.0)
+        else:
+            share = F.pow("_own", F.lit(float(target)))
+        shares = materialised(shares.select(F.col(name), share.alias("_share")), "shares")
+        (whole,) = total(shares, "_share")
+        goals = shares.select(F.col(name).alias("_key"), (F.col("_share") / F.lit(whole or 1.0) * F.lit(tokens)).alias(f"_{name}"))
+        out = out.join(goals, F.col(name) == F.col("_key")).drop("_key")
+    return out
+
+
+def one_round(cells: DataFrame, names: list[str]) -> DataFrame:
+    """cells, of which each margin in turn meets its targets."""
+    for name in names:
+        sums = cells.groupBy(F.col(name).alias("_key")).agg(F.sum("weight").alias("_sum"))
+        cells = cells.join(sums, F.col(name) == F.col("_key")).withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"_{name}"), F.col("_sum")), F.lit(0.0))).drop("_key", "_sum")
+    return cells
+
+
+def residual(cells: DataFrame, names: list[str]) -> float:
+    """Greatest distance of a margin's sum from its target, as a share of all tokens; cells as within `raked`."""
+    (tokens,) = total(cells, "tokens")
+    far = [cells.groupBy(name).agg(F.abs(F.sum("weight") - F.first(f"_{name}")).alias("d")).agg(F.max("d")).first()[0] or 0.0 for name in names]
+    return max(far) / (tokens or 1.0)
+
+
+def raked(cells: DataFrame, margins=MARGINS, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
+    """cells (the margins' columns, tokens) with `weight`, whose sums by margin meet the targets; with a tolerance, rounds end once `residual` is within it."""
+    names = [name for name, _ in margins]
+    out = with_goals(cells, margins).withColumn("weight", F.col("tokens"))
+    for _ in range(rounds):  # a table each: within a round the sums of a margin need the one before
+        out = materialised(one_round(out, names), "cells")
+        if tolerance is not None and residual(out, names) <= tolerance:
+            break
+    return out.drop(*(f"_{name}" for name in names))
+
+
+def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """cells with `p`: min(1, c * weight / tokens), where c makes the expected tokens budget of all."""
-    whole = Window.partitionBy(F.lit(1))
-    order = whole.orderBy(F.desc("_ratio"), *keys)
     out = cells.withColumn("_ratio", F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0)))
-    before = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = out.withColumn("_at", F.row_number().over(order))
-    out = out.withColumn("_c", F.try_divide(F.lit(budget) * F.sum("tokens").over(whole) - F.coalesce(before, F.lit(0.0)), rest))
-    chosen = F.min(F.when(F.col("_c") * F.col("_ratio") <= 1, F.struct("_at", "_c"))).over(whole)
-    out = out.withColumn("_factor", F.coalesce(chosen["_c"], F.lit(1.0)))
-    return out.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_factor") * F.col("_ratio")))).drop("_ratio", "_at", "_c", "_factor")
+    (tokens,) = total(out, "tokens")
+    factor, full = 0.0, -1.0
+    while True:
+        over = F.col("_ratio") * F.lit(factor) > 1
+        sums = out.agg(F.sum(F.when(over, F.col("tokens"))).alias("a"), F.sum(F.when(~over, F.col("weight"))).alias("b"), F.count_if(over).alias("n")).first()
+        if sums["n"] == full or not sums["b"]:
+            break
+        factor, full = (budget * tokens - (sums["a"] or 0.0)) / sums["b"], sums["n"]
+    return out.withColumn("p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(float(factor)) * F.col("_ratio")))).drop("_ratio")
 
 
 def cell_table(features: DataFrame, keys: list[str]) -> DataFrame:
     return features.groupBy(*keys).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def probabilities(features: DataFrame, margins=MARGINS, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
+def probabilities(features: DataFrame, margins=MARGINS, rounds: int = ROUNDS, budget: float = BUDGET, tolerance: float | None = None) -> DataFrame:
     """(the margins' columns, tokens, docs, weight, p) for every cell of features (the margins' columns, tokens)."""
-    keys = [name for name, _ in margins]
-    cells = materialised(cell_table(features, keys), "cells")
-    return materialised(calibrated(raked(cells, margins, rounds), keys, budget), "cells")
+    cells = materialised(cell_table(features, [name for name, _ in margins]), "cells")
+    return materialised(calibrated(raked(cells, margins, rounds, tolerance), budget), "cells")
+
+
+def featured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
+    """df with _mix_source, _mix_lang, _mix_topic and _mix_tokens."""
+    rows = df.withColumn("_mix_tokens", word_count(F.col(text_col)))
+    return rows.withColumns({"_mix_source": category("source"), "_mix_lang": category("lang"), "_mix_topic": topic_of(F.col(text_col), F.col("_mix_tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit("(none)"))})
 
 
-def featured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(F.col(id_col).alias(id_col), category("source").alias("source"), category("lang").alias("lang"), topic_of(F.col(text_col)).alias("topic"), word_count(F.col(text_col)).alias("tokens"))
+def cells_of(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"_mix_{c}").alias(c) for c in ("source", "lang", "topic", "tokens")))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = BUDGET, seed: str = SEED) -> DataFrame:
-    """The rows of df that the sampling keeps, with df's columns."""
-    cells = probabilities(featured(df, id_col, text_col), budget=budget).select(F.col("source").alias("_mix_s"), F.col("lang").alias("_mix_l"), F.col("topic").alias("_mix_t"), F.col("p").alias("_mix_p"))
-    keyed = df.withColumns({"_mix_source": category("source"), "_mix_lang": category("lang"), "_mix_topic": topic_of(F.col(text_col))})
-    same = (F.col("_mix_source") == F.col("_mix_s")) & (F.col("_mix_lang") == F.col("_mix_l")) & (F.col("_mix_topic") == F.col("_mix_t"))
-    return keyed.join(cells, same).where(fraction(id_col, seed) < F.col("_mix_p")).select(*[F.col(f"`{c}`") for c in df.columns])
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = BUDGET, seed: str = SEED, margins=MARGINS, topic: Column | None = None) -> DataFrame:
+    """The rows of df that the sampling keeps, with df's columns. Rows are written with their features, so texts are read for cues once."""
+    rows = materialised(featured(df, id_col, text_col, topic), "features")
+    cells = probabilities(cells_of(rows), margins, budget=budget).select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("p").alias("_p"))
+    same = (F.col("_mix_source") == F.col("_s")) & (F.col("_mix_lang") == F.col("_l")) & (F.col("_mix_topic") == F.col("_t"))
+    return rows.join(cells, same).where(fraction(id_col, seed) < F.col("_p")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, probability and fate of every document."""
-    features = materialised(featured(table(spark, sf_dir, "documents")), "features")
-    cells = probabilities(features).select("source", "lang", "topic", "weight", F.col("tokens").alias("cell_tokens"), "p")
+    rows = materialised(featured(table(spark, sf_dir, "documents")).select("doc_id", "_mix_source", "_mix_lang", "_mix_topic", "_mix_tokens"), "features")
+    features = rows.select("doc_id", *(F.col(f"_mix_{c}").alias(c) for c in ("source", "lang", "topic", "tokens")))
+    cells = probabilities(features.drop("doc_id")).select("source", "lang", "topic", "p")
     joined = features.join(cells, ["source", "lang", "topic"])
     return joined.select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("p", 6).alias("probability"), (fraction("doc_id") < F.col("p")).alias("kept"))
 
@@ -126,10 +163,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells_sql(documents: str = "documents", rounds: int = ROUNDS, budget: float = BUDGET) -> str:
     """DuckDB WITH clause that ends in `probability_cells`, from a table or query of documents."""
     words = SPACE_CLASS.replace("[", "[^") + "+"
-    topic = " ".join(f"WHEN regexp_matches(cue, '^(?:{pattern})') THEN '{name}'" for name, pattern in TOPICS)
+    rates = [f"len(regexp_extract_all(full_text, '{pattern}')) * {n}" for _, pattern, n in TOPICS]
+    topic = " ".join(f"WHEN rate_{name} = best THEN '{name}'" for name, _, _ in TOPICS)
     steps = [
-        f"mix_cue AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, regexp_extract(coalesce(text, ''), '{any_cue()}') AS cue, CAST(len(regexp_extract_all(coalesce(text, ''), '{words}')) AS BIGINT) AS tokens FROM {documents})",
-        f"mix_features AS (SELECT doc_id, source, lang, CASE WHEN cue = '' THEN '{PROSE}' {topic} ELSE '{PROSE}' END AS topic, tokens FROM mix_cue)",
+        f"mix_text AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS full_text FROM {documents})",
+        f"mix_rates AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(full_text, '{words}')) AS BIGINT) AS tokens, {', '.join(f'{r} AS rate_{n}' for r, (n, _, _) in zip(rates, TOPICS, strict=True))} FROM mix_text)",
+        f"mix_best AS (SELECT *, greatest({', '.join(f'rate_{n}' for n, _, _ in TOPICS)}) AS best FROM mix_rates)",
+        f"mix_features AS (SELECT doc_id, source, lang, CASE WHEN best = 0 OR best < tokens THEN '{PROSE}' {topic} END AS topic, tokens FROM mix_best)",
         "mix_cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM mix_features GROUP BY ALL)",
     ]
     for name, power in MARGINS:
