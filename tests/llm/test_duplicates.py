@@ -62,6 +62,28 @@ def test_links_of_dense_blocks(spark):
     assert [found.get(i, i) for i in ids] == components(ids, prints)
 
 
+def test_large_blocks_in_time_linear_in_their_rows():
+    import time
+
+    r = np.random.default_rng(4)
+    bits = [1, 2, 3, *range(20, 31), *range(40, 48)]
+    spread_bits = lambda x: sum(((x >> np.uint64(i) & np.uint64(1)) << np.uint64(b) for i, b in enumerate(bits)), np.zeros(len(x), dtype=np.uint64))
+    for n in (5000, 20_000):  # sparse and dense: components against a plain search
+        x = spread_bits(r.choice(1 << 22, n, replace=False).astype(np.uint64))
+        labels = simhash.large_block(x, bits, 2)
+        plain = np.arange(n)
+        simhash.compared(plain, np.arange(n), x, bits, 2)
+        same = lambda a: np.unique(a, return_inverse=True)[1]
+        assert len(np.unique(labels)) == len(np.unique(plain)) == len(set(zip(same(labels).tolist(), same(plain).tolist(), strict=True)))
+    took = []
+    for n in (1 << 16, 1 << 18):
+        x = spread_bits(r.choice(1 << 22, n, replace=False).astype(np.uint64))
+        began = time.process_time()
+        simhash.large_block(x, bits, 2)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1  # the square would be 16 times
+
+
 def test_simhash_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     prints = [fingerprint(d.text) for d in docs]
@@ -111,6 +133,45 @@ def test_near_duplicate_stage_finds_copies_from_similarity_08(spark):
     assert kept == {i for i in range(len(docs)) if find(i) == i}
 
 
+def test_large_blocks_are_joined_as_all_their_pairs_would(monkeypatch):
+    r = np.random.default_rng(9)
+    for dense in (near.DENSE, 0):
+        monkeypatch.setattr(near, "DENSE", dense)
+        sets = []
+        for _ in range(6):
+            base = r.choice(1 << 32, 60, replace=False).astype(np.uint32)
+            for _ in range(60):
+                some = base.copy()
+                k = r.integers(0, 16)
+                some[r.choice(60, k, replace=False)] = r.choice(1 << 32, k, replace=False)
+                sets.append(np.unique(some))
+        sim = np.array([near.fingerprint(np.array([hash((int(x), 1)) & (1 << 64) - 1 for x in s], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for s in sets]).view(np.uint64)
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if near.counts(sets[i], sets[j], 0.8) and np.bitwise_count(sim[i] ^ sim[j]) <= near.RADIUS]
+
+        def labels(links):
+            label = list(range(len(sets)))
+            for i, j in links:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+            return label
+
+        q, v = near.first_pairs(sim)
+        first = [(i, j) for i, j in zip(q.tolist(), v.tolist(), strict=True) if near.counts(sets[i], sets[j], 0.8)]
+        for start in ([], first):
+            found = near.joined(sim, np.array(labels(start)), sets, 0.8)
+            assert labels([*start, *found]) == labels([*start, *pairs]) and len(found) < len(sets)
+
+
+def test_keys_of_one_class_go_no_further():
+    import pyarrow as pa
+
+    keys = [1, 2, 2, 3, 4, 4, 4, 5, 6, 6]
+    rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(range(10), pa.int64()), pa.array(range(10), pa.int64())], names=["key", "fp", "sim"])
+    for cuts in ([0, 10], [0, 2, 10], [0, 1, 2, 3, 5, 6, 9, 10], [0, 4, 4, 5, 10]):
+        got = [k for b in near.shared(rows.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])) for k in b.column(0).to_pylist()]
+        assert got == [2, 2, 4, 4, 4, 6, 6]
+
+
 # passages ---------------------------------------------------------------------------------------------------------------
 
 
