@@ -140,15 +140,14 @@ def rotated_crop_geometry(quad: str) -> dict[str, Column]:
     """Size of a quad's upright crop, and whether its corners run counterclockwise and the crop is turned."""
     q = [quad_corner(quad, i) for i in range(8)]
     xs, ys = q[0::2], q[1::2]
-    doubled = F.lit(0.0)
-    for i in range(-1, 3):
-        doubled = doubled - F.lit(0.5) * (ys[i + 1] + ys[i]) * (xs[i + 1] - xs[i])
+    crossed = [xs[i] * ys[j] - xs[j] * ys[i] for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))]
+    area = (crossed[0] + crossed[1] + crossed[2] + crossed[3]) / F.lit(2.0)
     side = lambda i, j: F.hypot(xs[i] - xs[j], ys[i] - ys[j])
-    swap = doubled < 0
+    swap = area < 0
     across, down = F.greatest(side(0, 1), side(2, 3)), F.greatest(side(0, 3), side(1, 2))
     w = F.when(swap, down).otherwise(across).cast("int")
     h = F.when(swap, across).otherwise(down).cast("int")
-    return {"signed_area": doubled, "swapped": swap, "crop_w": w, "crop_h": h, "turned": F.coalesce(F.try_divide(h.cast("double"), w.cast("double")) >= 1.5, F.lit(False))}
+    return {"signed_area": area, "swapped": swap, "crop_w": w, "crop_h": h, "turned": F.coalesce(F.try_divide(h.cast("double"), w.cast("double")) >= 1.5, F.lit(False))}
 
 
 def slice_length(lo: Column, hi: Column, size: Column) -> Column:

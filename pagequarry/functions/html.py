@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 PAGE_HEAD = '<!DOCTYPE html>\n<html>\n  <head>\n    <meta charset="utf-8"/>\n  </head>\n  <body>\n    <div id="root">\n'
 PAGE_TAIL = "\n    </div>\n  </body>\n</html>\n"
+#: Fixed value.
 IMAGE_STYLE = "width: 100%; height: 100%; object-fit: fill;"
 
 
@@ -35,8 +36,10 @@ def fragments(regions: DataFrame) -> DataFrame:
     return regions.withColumn("fragment", fragment(F.col("class"), css, F.col("text"), F.col("img_src")))
 
 
-def documents(regions: DataFrame) -> DataFrame:
-    """(image_id, html) of each page, its regions in order."""
-    parts = fragments(regions).where(F.col("fragment").isNotNull())
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("region_idx", "fragment"))), lambda r: r["fragment"])
-    return parts.groupBy("image_id").agg(F.concat(F.lit(PAGE_HEAD), F.array_join(ordered, "\n"), F.lit(PAGE_TAIL)).alias("html"))
+def documents(regions: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(image_id, html) of each page, its shown regions in order; pages without one have an empty body. With images, those without any region have a page too."""
+    shown = F.when(F.col("fragment").isNotNull(), F.struct("region_idx", "fragment"))
+    parts = fragments(regions).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(shown)), lambda r: r["fragment"]).alias("parts"))
+    if images is not None:
+        parts = images.select("image_id").distinct().join(parts, "image_id", "left")
+    return parts.select("image_id", F.concat(F.lit(PAGE_HEAD), F.coalesce(F.array_join("parts", "\n"), F.lit("")), F.lit(PAGE_TAIL)).alias("html"))

@@ -8,16 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 #: The recogniser's vocabulary, in order of token ids.
-VOCABULARY = (
-    ["blank"]
-    + list("!\"#$%&'()*+,-./:;<=>?।")
-    + list("ঁংঃঅআইঈউঊঋএঐওঔ")
-    + list("কখগঘঙচছজঝঞটঠডঢণতথদধনপফবভমযরলশষসহ")
-    + list("\u09be\u09bf\u09c0\u09c1\u09c2\u09c3\u09c7\u09c8\u09cb\u09cc\u09cd\u09ce")
-    + ["\u09dc", "\u09dd", "\u09df"]
-    + list("০১২৩৪৫৬৭৮৯")
-    + ["\u200d", "sep", "pad"]
-)
+VOCABULARY = [
+    "blank", "!", "\"", "#", "$", "%", "&", "'", "(", ")", "*", "+", ",", "-", ".", "/", ":", ";", "<", "=",
+    ">", "?", "।", "ঁ", "ং", "ঃ", "অ", "আ", "ই", "ঈ", "উ", "ঊ", "ঋ", "এ", "ঐ", "ও", "ঔ", "ক", "খ", "গ",
+    "ঘ", "ঙ", "চ", "ছ", "জ", "ঝ", "ঞ", "ট", "ঠ", "ড", "ঢ", "ণ", "ত", "থ", "দ", "ধ", "ন", "প", "ফ", "ব",
+    "ভ", "ম", "য", "র", "ল", "শ", "ষ", "স", "হ", "া", "ি", "ী", "ু", "ূ", "ৃ", "ে", "ৈ", "ো", "ৌ", "্",
+    "ৎ", "ড়", "ঢ়", "য়", "০", "১", "২", "৩", "৪", "৫", "৬", "৭", "৮", "৯", "\u200d", "sep", "pad",
+]
 SEPARATOR = VOCABULARY.index("sep")
 
 #: Strings before the normaliser and after, applied in this order; precomposed letters stay precomposed.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagequarry.functions.geometry import Box, intersection, iou, overlap_ratio
@@ -82,19 +85,24 @@ def match_candidates(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, cel
 def greedy_matches(candidates: DataFrame, pivot: str, other: str, keys: list[str]) -> DataFrame:
     """One-to-one matches: pivots in order of index take their best free partner (greatest iou, then lowest index).
 
-    All partners prefer the lower pivot, so this greedy choice is the one stable matching, and rounds of proposals find it
-    without a loop over pivots: each free pivot proposes to its best partner left, a partner refuses all but the lowest pivot,
-    refused pairs go. Rounds end when nothing is refused; what one round holds depends on conflicts, not on a group's size.
+    Candidates are sorted once by key and preference; a pass over each sorted partition keeps the partners taken in the region at
+    hand, and nothing else, in memory.
     """
-    left = candidates.select(*keys, pivot, other, "iou")
-    ranked = Window.partitionBy(*keys, pivot).orderBy(F.desc("iou"), other)
-    rivals = Window.partitionBy(*keys, other)
-    left = left.withColumn("_rank", F.row_number().over(ranked))
-    while True:
-        marked = left.withColumn("_proposes", F.col("_rank") == F.min("_rank").over(Window.partitionBy(*keys, pivot)))
-        marked = marked.withColumn("_lowest", F.min(F.when(F.col("_proposes"), F.col(pivot))).over(rivals))
-        marked = marked.withColumn("_refused", F.col("_proposes") & (F.col(pivot) != F.col("_lowest"))).persist()
-        refused = not marked.where("_refused").isEmpty()
-        if not refused:
-            return marked.where("_proposes").select(*keys, pivot, other, "iou")
-        left = marked.where("NOT _refused").drop("_proposes", "_lowest", "_refused")
+    rows = candidates.select(*keys, pivot, other, "iou")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, matched, taken = None, None, set()
+        for batch in batches:
+            keep = []
+            for *key, p, o in zip(*(batch.column(i).to_pylist() for i in range(len(keys) + 2)), strict=True):
+                if key != region:
+                    region, matched, taken = key, None, set()
+                free = p != matched and o not in taken
+                keep.append(free)
+                if free:
+                    matched = p
+                    taken.add(o)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, pivot, F.desc("iou"), other)
+    return ordered.mapInArrow(choose, rows.schema)

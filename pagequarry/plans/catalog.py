@@ -304,7 +304,8 @@ def shuffle_order(spark, sf_dir):
 
 def _pair(spark, sf_dir) -> tuple[evaluation.Truth, evaluation.Predicted]:
     w = S.words(spark, sf_dir)
-    return evaluation.Truth(S.gt_regions(w), S.gt_words(w)), evaluation.Predicted(S.pred_regions(w), S.pred_words(w))
+    images = S.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("image_id")).union(S.table(spark, sf_dir, "supplier").select(F.concat(F.lit("bare "), "s_suppkey")))
+    return evaluation.Truth(S.gt_regions(w), S.gt_words(w), images), evaluation.Predicted(S.pred_regions(w), S.pred_words(w))
 
 
 @query(WORD_VIEWS + "SELECT image_id, CAST(pred_idx AS INTEGER) AS pred_idx, gt_idx, round(ratio, 9) AS ratio FROM v_matches")
@@ -450,10 +451,13 @@ def html_fragment(spark, sf_dir):
 @query(
     REGION_VIEWS
     + _FRAGMENTS
-    + f"SELECT image_id, '{html.PAGE_HEAD}' || string_agg(fragment, chr(10) ORDER BY region_idx) || '{html.PAGE_TAIL}' AS html FROM g WHERE fragment IS NOT NULL GROUP BY image_id"
+    + f"SELECT image_id, '{html.PAGE_HEAD}' || coalesce(string_agg(fragment, chr(10) ORDER BY region_idx), '') || '{html.PAGE_TAIL}' AS html FROM (SELECT image_id, region_idx, fragment FROM g UNION ALL SELECT 'order ' || o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 50 = 0) GROUP BY image_id"
 )
 def html_document(spark, sf_dir):
-    return html.documents(_html_rows(spark, sf_dir))
+    """Pages of all images: those of line items, of which some show no region, and some orders' pages without any region."""
+    rows = _html_rows(spark, sf_dir)
+    bare = S.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("order "), F.col("o_orderkey")).alias("image_id"))
+    return html.documents(rows, rows.select("image_id").union(bare))
 
 
 # models, with the deterministic stand-ins -------------------------------------------------------------------------------

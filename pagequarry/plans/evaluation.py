@@ -11,10 +11,14 @@ from pagequarry.operators import matching, metrics
 
 @dataclass(frozen=True)
 class Truth:
-    """regions (image_id, gt_idx, x0.., text) and words (image_id, word_pos, x0.., text)."""
+    """regions (image_id, gt_idx, x0.., text) and words (image_id, word_pos, x0.., text); images (image_id) that have a row of metrics, else those of regions."""
 
     regions: DataFrame
     words: DataFrame
+    images: DataFrame | None = None
+
+    def scored_images(self) -> DataFrame:
+        return (self.regions if self.images is None else self.images).select("image_id").distinct()
 
 
 @dataclass(frozen=True)
@@ -59,8 +63,7 @@ def scores(a: Alignment) -> DataFrame:
 
 def metrics_v1(truth: Truth, predicted: Predicted) -> DataFrame:
     a = align(truth, predicted)
-    images = truth.regions.select("image_id").distinct()
-    return metrics.metrics_v1(scores(a), metrics.matched_counts(pred_pivot(a)), images)
+    return metrics.metrics_v1(scores(a), metrics.matched_counts(pred_pivot(a)), truth.scored_images())
 
 
 def metrics_v2(truth: Truth, predicted: Predicted) -> DataFrame:
@@ -68,7 +71,7 @@ def metrics_v2(truth: Truth, predicted: Predicted) -> DataFrame:
     superbox = matching.superboxes(matches, truth.regions)
     order = matching.read_order(superbox, predicted.regions)
     texts = metrics.document_texts(order, superbox, truth.regions, predicted.regions)
-    return metrics.metrics_v2(texts, truth.regions.select("image_id").distinct())
+    return metrics.metrics_v2(texts, truth.scored_images())
 
 
 def summaries(v1: DataFrame) -> DataFrame:

@@ -32,9 +32,11 @@ class Reading:
     lines: DataFrame
     words: DataFrame
     pictures: DataFrame
+    images: DataFrame | None = None
 
     def html(self) -> DataFrame:
-        return html.documents(self.regions)
+        """A page for every image, also those without regions."""
+        return html.documents(self.regions, self.images)
 
 
 def regions_of(images: DataFrame, models: Models) -> DataFrame:
@@ -65,7 +67,7 @@ def read_pages(images: DataFrame, models: Models = Models()) -> Reading:
     written = regions.drop("text").join(layout.region_texts(words).withColumnRenamed("region_text", "text"), REGION, "left").withColumn("text", F.coalesce("text", F.lit("")))
     pictures = regions.where(F.col("class") == "image")
     pictures = inference.crop_images(boxes(pictures, "p", REGION), images, REGION).join(pictures.select(*REGION, "img_src"), REGION)
-    return Reading(layout.single_lines(written, lines), lines, words, pictures)
+    return Reading(layout.single_lines(written, lines), lines, words, pictures, images.select("image_id"))
 
 
 def read_regions(images: DataFrame, models: Models = Models()) -> DataFrame:

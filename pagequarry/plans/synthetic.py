@@ -195,11 +195,11 @@ v_matches AS (
 v_super AS (
   SELECT g.image_id, g.gt_idx, coalesce(preds, []) AS preds, CAST(row_number() OVER (PARTITION BY g.image_id ORDER BY first NULLS LAST, g.gt_idx) - 1 AS INTEGER) AS place FROM v_gt g
   LEFT JOIN (SELECT image_id, gt_idx, list(pred_idx ORDER BY pred_idx) AS preds, min(pred_idx) AS first FROM v_matches WHERE gt_idx <> -1 GROUP BY ALL) m ON g.image_id = m.image_id AND g.gt_idx = m.gt_idx),
-v_inside AS (
+v_inside AS MATERIALIZED (
   SELECT w.image_id, g.gt_idx, word_pos, w.x0, w.y0, w.x1, w.y1, w.text, CAST(row_number() OVER (PARTITION BY w.image_id, g.gt_idx ORDER BY word_pos) - 1 AS INTEGER) AS gt_word_idx
   FROM v_gt_words w JOIN v_gt g ON w.image_id = g.image_id
   WHERE (w.x1 - w.x0) * (w.y1 - w.y0) >= 0.00001 AND greatest(0, least(w.x1, g.x1) - greatest(w.x0, g.x0)) * greatest(0, least(w.y1, g.y1) - greatest(w.y0, g.y0)) / ((w.x1 - w.x0) * (w.y1 - w.y0)) > 0.5),
-v_merged AS (
+v_merged AS MATERIALIZED (
   SELECT w.image_id, m.gt_idx, w.pred_idx, line_idx, word_idx, x0, y0, x1, y1, text, CAST(row_number() OVER (PARTITION BY w.image_id, m.gt_idx ORDER BY w.pred_idx, line_idx, word_idx) - 1 AS INTEGER) AS pred_word_idx
   FROM v_pred_words w JOIN v_matches m ON w.image_id = m.image_id AND w.pred_idx = m.pred_idx WHERE m.gt_idx <> -1),
 v_overlaps AS (
@@ -207,7 +207,7 @@ v_overlaps AS (
   FROM v_merged p JOIN v_inside g ON p.image_id = g.image_id AND p.gt_idx = g.gt_idx AND p.y0 = g.y0 AND p.x0 < g.x1 AND g.x0 < p.x1),
 v_candidates AS MATERIALIZED (SELECT image_id, gt_idx, pred_word_idx, gt_word_idx, shared / (a + b - shared) AS iou FROM v_overlaps WHERE shared / (a + b - shared) > 0.5),
 v_pred_pivot AS (SELECT * FROM v_candidates QUALIFY row_number() OVER (PARTITION BY image_id, gt_idx, gt_word_idx ORDER BY pred_word_idx) = 1),
-v_gt_pivot AS (SELECT * FROM v_candidates QUALIFY row_number() OVER (PARTITION BY image_id, gt_idx, gt_word_idx ORDER BY iou DESC, pred_word_idx) = 1),
+v_gt_pivot AS MATERIALIZED (SELECT * FROM v_candidates QUALIFY row_number() OVER (PARTITION BY image_id, gt_idx, gt_word_idx ORDER BY iou DESC, pred_word_idx) = 1),
 v_scored AS (
   SELECT g.image_id, g.gt_idx AS dla_box_idx, g.gt_word_idx, g.text AS gt_word, coalesce(m.pred_word_idx, -1) AS pred_word_idx, coalesce(p.text, '') AS pred_word
   FROM v_inside g LEFT JOIN v_gt_pivot m ON g.image_id = m.image_id AND g.gt_idx = m.gt_idx AND g.gt_word_idx = m.gt_word_idx
@@ -215,6 +215,6 @@ v_scored AS (
 v_scores AS (SELECT *, levenshtein(gt_word, pred_word) AS lev, CASE WHEN pred_word = '' THEN 1.0 ELSE levenshtein(gt_word, pred_word) / greatest(length(gt_word), length(pred_word)) END AS cer FROM v_scored),
 v_v1 AS (
   SELECT i.image_id AS file_stem, coalesce(cer / n, 0) AS average_NED, coalesce(correct / n, 1) AS average_accuracy, coalesce(coalesce(correct, 0) / matched, 1) AS average_precision
-  FROM (SELECT DISTINCT image_id FROM v_gt) i LEFT JOIN (SELECT image_id, count(*) AS n, sum(cer) AS cer, count(*) FILTER (gt_word = pred_word AND pred_word_idx <> -1) AS correct FROM v_scores GROUP BY ALL) s ON i.image_id = s.image_id
+  FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS image_id FROM documents UNION SELECT 'bare ' || s_suppkey FROM supplier) i LEFT JOIN (SELECT image_id, count(*) AS n, sum(cer) AS cer, count(*) FILTER (gt_word = pred_word AND pred_word_idx <> -1) AS correct FROM v_scores GROUP BY ALL) s ON i.image_id = s.image_id
   LEFT JOIN (SELECT image_id, count(*) AS matched FROM v_pred_pivot GROUP BY ALL) p ON i.image_id = p.image_id),
 v_metrics AS (SELECT *, CASE WHEN average_precision + average_accuracy > 0.00001 THEN 2 * average_precision * average_accuracy / (average_precision + average_accuracy) ELSE 0 END AS average_f1 FROM v_v1)"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagequarry import schemas
 
-#: Names of stages: layout, lines, words, recognition, each with its post-processing, and pages.
+#: Fixed values, names of stages: layout, lines, words, recognition, each with its post-processing, and pages.
 STAGES = ("dla", "dla_p", "line", "line_p", "word", "word_p", "rec", "rec_p", "html")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Classes of the layout model by id.
 CLASSES = {0: "paragraph", 1: "text_box", 2: "image", 3: "table"}
 TEXT_CLASSES = ("paragraph", "text_box")
 
