@@ -4,13 +4,15 @@ Equal vectors are one class that keeps its `k` + 1 smallest ids (they are tied f
 no more can be asked for); a vector that a third of all rows share costs one comparison.
 
 Centroids come from a bounded sample of classes in the driver: k-means, then lists of over twice the mean size are split. A
-vector belongs to its nearest list, and near a boundary also to further lists whose centroids are not closer to a chosen
-centroid than to the vector. Centroids are searched by a neighbour graph held in memory, for vectors and queries alike.
+vector belongs to its nearest list, and near a boundary also to further lists whose centroids lie apart from the chosen ones.
+Centroids are searched by a neighbour graph held in memory, for vectors and queries alike; the walk goes on from the BEAM
+nearest and from what lies within the query's ratio, so it does not grow with the number of centroids.
 
-A query visits the lists within a ratio of its distance to the nearest centroid. The ratio is set on the sample so that RECALL
-of the true neighbours there lie in visited lists, and lists are added until they hold enough vectors. Lists longer than
-BLOCK are dealt out as blocks, so no list is gathered in one task. Every reported distance is computed from the original
-vectors in double precision.
+A query visits the lists within a ratio of its distance to the nearest centroid. How far apart the lists of a vector lie, and
+the ratio, are set on the sample so that RECALL of the true neighbours there lie in visited lists at the least number of
+vectors visited; lists are added until they hold enough vectors. Lists longer than BLOCK are dealt out as blocks, and more than
+QUERY_BLOCK queries in turns, so neither a list nor its queries are gathered in one task. Every reported distance is computed
+from the original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows with a
 null id, nor vectors of another than the most frequent length (of equally frequent ones, the longest); rows with one id are one
@@ -33,8 +35,12 @@ SAMPLE, MOST_LISTS = 16384, 1024
 #: Classes that a list should have; a list over BLOCK is dealt out.
 LIST, BLOCK = 256, 4096
 COPIES, BOUNDARY = 4, 1.15
+#: Of a vector's distance to a further list, what its centroid must lie from the centroids chosen already: tried in turn.
+SPREADS = (1.0, 0.6, 0.3)
+#: Queries of a block of a list that are compared by one task.
+QUERY_BLOCK = 1 << 16
 RECALL, TRIALS = 0.97, 128
-DEGREE, BEAM = 16, 48
+DEGREE, BEAM = 16, 64
 BATCH = 256
 
 
@@ -87,8 +93,8 @@ class Graph:
         self.links = np.concatenate([near, ring], axis=1)
         self.entries = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(int))
 
-    def search(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
-        """Distances to the centroids that a best-first walk meets, infinite elsewhere; the beam nearest are walked from."""
+    def search(self, x: np.ndarray, beam: int = BEAM, ratio: float = 0.0) -> np.ndarray:
+        """Distances to the centroids that a best-first walk meets, infinite elsewhere; it walks on from the beam nearest and from all within ratio of the nearest."""
         n, k = len(x), len(self.c)
         found = np.full((n, k), np.inf)
         found[:, self.entries] = np.sqrt(squared(x, self.c[self.entries]))
@@ -98,7 +104,7 @@ class Graph:
         while len(rows):
             open_ = np.where(walked[rows], np.inf, found[rows])
             some = np.argpartition(open_, min(3, k - 1), axis=1)[:, :4]
-            limit = np.partition(found[rows], beam - 1, axis=1)[:, beam - 1]
+            limit = np.maximum(np.partition(found[rows], beam - 1, axis=1)[:, beam - 1], ratio * found[rows].min(1))
             best = np.take_along_axis(open_, some, 1)
             use = np.isfinite(best) & (best <= limit[:, None])
             rows, some, use = rows[use.any(1)], some[use.any(1)], use[use.any(1)]
@@ -117,7 +123,7 @@ class Lists:
     def __init__(self, centroids: np.ndarray):
         self.graph = Graph(centroids)
         self.between = np.sqrt(squared(centroids, centroids))
-        self.ratio = 1.0
+        self.ratio, self.spread = 1.0, SPREADS[0]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of every vector's lists."""
@@ -129,29 +135,34 @@ class Lists:
         chosen[:, 0] = True
         for j in range(1, n):
             fits = (near[:, j] <= BOUNDARY * near[:, 0]) & (chosen.sum(1) < COPIES)
-            for i in range(j):  # not if a chosen centroid is closer to it than the vector is
-                fits &= ~(chosen[:, i] & (self.between[order[:, i], order[:, j]] < near[:, j]))
+            for i in range(j):  # not if a chosen centroid is closer to it than `spread` of the vector's distance
+                fits &= ~(chosen[:, i] & (self.between[order[:, i], order[:, j]] < self.spread * near[:, j]))
             chosen[:, j] = fits
         row, at = np.nonzero(chosen)
         return row, order[row, at]
 
     def calibrate(self, x: np.ndarray, k: int) -> None:
-        """Sets the ratio on sampled vectors and their true neighbours among them."""
+        """Sets spread and ratio on sampled vectors and their true neighbours among them: of the spreads the one by which RECALL costs the fewest vectors visited."""
         r = np.random.default_rng(5)
         q = x[np.sort(r.choice(len(x), min(TRIALS, len(x)), replace=False))]
-        row, of = (np.concatenate(a) for a in zip(*((row + lo, of) for lo in range(0, len(x), BATCH) for row, of in [self.assign(x[lo : lo + BATCH])]), strict=True))
-        member = [[] for _ in x]
-        for i, j in zip(row.tolist(), of.tolist(), strict=True):
-            member[i].append(j)
         true = np.argsort(squared(q, x), axis=1, kind="stable")[:, 1 : k + 1]
         d = np.sqrt(squared(q, self.graph.c))
-        needed = [min(d[i, member[t]]) / max(d[i].min(), 1e-12) for i, some in enumerate(true) for t in some]
-        self.ratio = float(np.quantile(needed, RECALL)) if needed else 1.0
+        d /= np.maximum(d.min(1, keepdims=True), 1e-12)
+        found = []
+        for spread in SPREADS:
+            self.spread = spread
+            row, of = (np.concatenate(a) for a in zip(*((row + lo, of) for lo in range(0, len(x), BATCH) for row, of in [self.assign(x[lo : lo + BATCH])]), strict=True))
+            bounds = np.searchsorted(row, np.arange(len(x) + 1))
+            needed = [d[i, of[bounds[t] : bounds[t + 1]]].min() for i, some in enumerate(true.tolist()) for t in some]
+            ratio = float(np.quantile(needed, RECALL)) if needed else 1.0
+            found.append((float(((d <= ratio) @ np.bincount(of, minlength=d.shape[1])).mean()), -spread, ratio))
+        _, spread, self.ratio = min(found)
+        self.spread = -spread
 
     def visit(self, q: np.ndarray, sizes: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
         """(query row, its lists)."""
         for lo in range(0, len(q), BATCH):
-            d = self.graph.search(q[lo : lo + BATCH], max(BEAM, len(self.graph.c) // 2))
+            d = self.graph.search(q[lo : lo + BATCH], BEAM, self.ratio)
             for i, row in enumerate(d):
                 order = np.argsort(row, kind="stable")
                 order = order[np.isfinite(row[order])]
@@ -234,6 +245,12 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "
     asked = rows.where(queries)
     leads = materialised(asked.groupBy("v").agg(F.min("id").alias("qid")).select("qid", "v"), "queries")
 
+    turns = max(1, -(-leads.count() // QUERY_BLOCK))
+    if turns > 1:  # every query may visit a list: its blocks meet so many shares of the queries
+        posted = posted.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    else:
+        posted = posted.withColumn("turn", F.lit(0))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
@@ -257,7 +274,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "
         qid, vec, dist = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"qid": pa.array(qid, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(dist, pa.float64())})
 
-    met = posted.groupBy("list", "block").cogroup(visits.groupBy("list", "block")).applyInArrow(compare, "qid long, vec_id long, score double")
+    visits = visits.withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(turns)).cast("int"))
+    met = posted.groupBy("list", "block", "turn").cogroup(visits.groupBy("list", "block", "turn")).applyInArrow(compare, "qid long, vec_id long, score double")
     best = met.groupBy("qid", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("score", "vec_id"))
     best = materialised(best.withColumn("_n", place).where(F.col("_n") <= k + 1).drop("_n"), "best")

@@ -403,6 +403,44 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / 400 >= 0.9
 
 
+def test_neighbours_query_recall_on_its_table(spark):
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = {}
+    for row in ann.op4_neighbours(spark, SF).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    asked = [i for i, _ in rows if i % 100 == 0]
+    hits = sum(len(got[q] & {i for _, i in nearest(rows, q, 10)}) for q in asked)
+    assert set(got) == set(asked) and hits >= 0.9 * 10 * len(asked)
+
+
+def test_boundary_copies_of_vectors_in_a_plane():
+    r = np.random.default_rng(12)
+    x = r.random((6000, 2)) @ r.standard_normal((2, 8))
+    lists = ann.Lists(ann.balanced_centroids(x, 30))
+    lists.calibrate(x, 10)
+    row, of = (np.concatenate(a) for a in zip(*((row + lo, of) for lo in range(0, len(x), 256) for row, of in [lists.assign(x[lo : lo + 256])])))
+    member = [set() for _ in x]
+    for i, j in zip(row.tolist(), of.tolist()):
+        member[i].add(j)
+    sizes, hits, met = np.bincount(of, minlength=len(lists.graph.c)), 0, 0
+    q = r.choice(len(x), 100, replace=False)
+    for k, some in lists.visit(x[q], sizes, 11):
+        true = np.argsort(((x - x[q[k]]) ** 2).sum(1), kind="stable")[1:11]
+        hits += sum(bool(member[t] & set(some.tolist())) for t in true)
+        met += sizes[some].sum()
+    assert len(row) > 1.02 * len(x) and hits >= 0.93 * 1000 and met < 0.25 * 100 * len(x)
+
+
+def test_neighbours_in_blocks_and_turns(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    rows = [(i, [float(x) for x in r.standard_normal(4)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = sorted(map(tuple, ann.neighbours(df, F.col("id") % 10 == 0).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    assert sorted(map(tuple, ann.neighbours(df, F.col("id") % 10 == 0).collect())) == plain and len(plain) == 1200
+
+
 def test_neighbours_of_odd_vectors(spark):
     one = [1.0] * 4
     rows = [(0, one), (100, one), (200, [1.0, 2.0, 3.0, 4.0]), (1, [0.5] * 4), (1, [0.5] * 4), (300, None), (400, [0.0] * 4), (500, [float("nan")] * 4), (None, one), (600, [None, 1.0, 1.0, 1.0]), (700, [1.0]), (800, [])]
