@@ -7,7 +7,8 @@ O(n log n), so very long pre-tokens (base64, runs of one character) need no sepa
 
 Every distinct short pre-token is merged once per task; a bounded table keeps its ids.
 
-Defined cases: null and empty texts give no ids; repeated rows are encoded alike; a table without rows gives none; other
+Defined cases: null and empty texts give no ids; very long texts are read whole, one at a time; of pairs that tie in rank the leftmost
+is merged first; repeated rows are encoded alike; a table without rows gives none; other
 columns pass through, and a column with an output's name is replaced.
 """
 

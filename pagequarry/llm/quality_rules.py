@@ -7,7 +7,8 @@ policy or an ablation never reads a text again, only ledgers.
 Repeated three-word windows: the windows of a text are compared as strings. Only a text with fewer distinct windows than
 windows sorts them; equal neighbours give the repeated ones, and the gaps between their positions the words they cover.
 
-Defined cases: null, empty and blank texts have no word, all measures 0, and fail `few_words`; repeated rows get equal rows;
+Defined cases: null, empty and blank texts have no word, all measures 0, and fail `few_words`; very long
+texts are measured whole within their row; limits are met at equality (a tie passes); repeated rows get equal rows;
 null ids stay null; a table without rows gives none; other columns are left out of the ledger unless asked for by `keep`.
 """
 

@@ -377,7 +377,23 @@ def test_gap_alignment():
 
 
 def test_passage_query(spark):
-    assert set(passages.op1_passages(spark, SF).columns) == {"doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "n_words", "similarity"}
+    """Every exact stretch of 50 words that two documents share has a span, and every span holds what it says."""
+    found = passages.op1_passages(spark, SF)
+    assert set(found.columns) == {"doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "n_words", "similarity"}
+    docs = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = found.collect()
+    holders = {}
+    for i, words in docs.items():
+        for k in range(len(words) - 49):
+            holders.setdefault(tuple(words[k : k + 50]), set()).add((i, k))
+    wanted = {(i, k) for at in holders.values() if len({i for i, _ in at}) > 1 for i, k in at}
+    spans = [x for g in got for x in ((g.doc_id, g.start_word, g.end_word), (g.other_id, g.other_start, g.other_end))]
+    covered = {(d, k) for d, s, e in spans for k in range(s, e - 49)}
+    assert wanted and len(wanted - covered) <= 0.005 * len(wanted)
+    for g in got:
+        a, b = docs[g.doc_id][g.start_word : g.end_word], docs[g.other_id][g.other_start : g.other_end]
+        assert min(len(a), len(b)) >= 50 and g.similarity >= 0.8 and g.n_words == len(a)
+        assert len(set(a) & set(b)) >= 0.5 * min(len(set(a)), len(set(b)))
 
 
 # neighbours -------------------------------------------------------------------------------------------------------------
