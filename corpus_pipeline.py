@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over documents, each written as Parquet before the next reads it.
 
 Null and empty texts pass as their operators define it: they are scored, near copies of each other (one of them stays), have no secret, weigh
-nothing in the mix, and have no ids. Tables without rows give tables without rows; columns beyond those of documents pass through
+nothing in the mix, and have no ids. Very long texts are read whole by all stages; of near copies that tie, and of repeated rows, the
+stages keep what their operators say (rows that share an id stay or go together). Tables without rows give tables without rows; columns beyond those of documents pass through
 all stages but the last.
 """
 
