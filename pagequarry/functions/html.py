@@ -41,5 +41,5 @@ def documents(regions: DataFrame, images: DataFrame | None = None) -> DataFrame:
     shown = F.when(F.col("fragment").isNotNull(), F.struct("region_idx", "fragment"))
     parts = fragments(regions).groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(shown)), lambda r: r["fragment"]).alias("parts"))
     if images is not None:
-        parts = images.select("image_id").distinct().join(parts, "image_id", "left")
+        parts = images.select("image_id").distinct().join(parts.hint("merge"), "image_id", "left")
     return parts.select("image_id", F.concat(F.lit(PAGE_HEAD), F.coalesce(F.array_join("parts", "\n"), F.lit("")), F.lit(PAGE_TAIL)).alias("html"))

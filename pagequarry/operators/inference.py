@@ -1,7 +1,8 @@
 """Models as DataFrame operators: protocols, factories that run a model inside Arrow batches, deterministic stand-ins.
 
 A factory takes a function that loads the model; it runs once per Python worker and task, on the executor, so weights are
-never pickled. Weights are local paths; nothing is downloaded.
+never pickled. Weights are local paths; nothing is downloaded. Spark takes a model's output for as small as its input, so what
+is joined with it is hinted to be merged: pixels and boxes grow with the images and are not to be broadcast.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def recognise(crops: DataFrame, load: Callable[[], Recognizer], batch: int = REC
 def crop_images(boxes: DataFrame, images: DataFrame, keys: list[str], pad_ratio: float | None = None, on: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Crops (x0, y0, x1, y1 in pixels) of images or of other crops, joined by `on` and cut in Arrow batches; with pad_ratio, white rows are added."""
     channels = F.col("n_channels") if "n_channels" in images.columns else F.lit(3)
-    joined = boxes.select(*keys, "x0", "y0", "x1", "y1").join(images.select(*on, F.col("height").alias("_h"), F.col("width").alias("_w"), channels.alias("_c"), "data"), list(on))
+    joined = boxes.select(*keys, "x0", "y0", "x1", "y1").join(images.select(*on, F.col("height").alias("_h"), F.col("width").alias("_w"), channels.alias("_c"), "data").hint("merge"), list(on))
     out = T.StructType([*boxes.select(*keys).schema.fields, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +162,7 @@ def crop_images(boxes: DataFrame, images: DataFrame, keys: list[str], pad_ratio:
 def rotated_crops(quads: DataFrame, images: DataFrame, keys: list[str], on: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Upright crops of quads of images or of other crops, joined by `on`."""
     channels = F.col("n_channels") if "n_channels" in images.columns else F.lit(3)
-    joined = quads.select(*keys, "quad").join(images.select(*on, F.col("height").alias("_h"), F.col("width").alias("_w"), channels.alias("_c"), "data"), list(on))
+    joined = quads.select(*keys, "quad").join(images.select(*on, F.col("height").alias("_h"), F.col("width").alias("_w"), channels.alias("_c"), "data").hint("merge"), list(on))
     out = T.StructType([*quads.select(*keys).schema.fields, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,11 +51,11 @@ def suppress_overlaps(regions: DataFrame, box: tuple[str, str, str, str] = ("x0"
         named = regions.select(*REGION, *(F.col(c).alias(d) for c, d in zip(box, ("x0", "y0", "x1", "y1"), strict=True)))
         pairs = grid_pairs(named, named, ["image_id"], cell).where("l_region_idx < r_region_idx")
         gone = pairs.where(overlap_ratio(Box.of("l_"), Box.of("r_")) > threshold).select("image_id", F.col("r_region_idx").alias("region_idx")).distinct()
-        return regions.join(gone, REGION, "left_anti")
+        return regions.join(gone.hint("merge"), REGION, "left_anti")
     early = regions.select(F.col("image_id").alias("e_image"), F.col("region_idx").alias("e_idx"), *(F.col(c).alias(f"e_{d}") for c, d in zip(box, ("x0", "y0", "x1", "y1"), strict=True)))
     later = Box(*(F.col(c) for c in box))
     covered = (F.col("image_id") == F.col("e_image")) & (F.col("e_idx") < F.col("region_idx")) & (overlap_ratio(Box.of("e_"), later) > threshold)
-    return regions.join(early, covered, "left_anti")
+    return regions.join(early.hint("merge"), covered, "left_anti")
 
 
 def is_text(kind: Column) -> Column:
@@ -82,7 +82,7 @@ def line_boxes(quads: DataFrame, regions: DataFrame) -> DataFrame:
     """Whole-pixel boxes of detected line quads, in the crop (x0..) and on the page (gx0..); lines in order of y0, then detection."""
     box = line_box("quad")
     known = regions.select(*REGION, "px0", "py0", "px1", "py1", "pad_top", "crop_h", "crop_w")
-    rows = quads.join(known, REGION).withColumns(box.named())
+    rows = quads.join(known.hint("merge"), REGION).withColumns(box.named())
     rows = rows.withColumns(to_page(Box.of(), Box.of("p"), F.col("pad_top")).named("g"))
     order = Window.partitionBy(*REGION).orderBy("y0", "det_idx")
     return rows.withColumn("line_idx", (F.row_number().over(order) - 1).cast("int"))
@@ -130,7 +130,7 @@ def single_lines(regions: DataFrame, lines: DataFrame) -> DataFrame:
     """Regions of exactly one line are marked, and their element is half as high again."""
     counts = lines.groupBy(*REGION).agg(F.count(F.lit(1)).alias("_n"))
     one = F.coalesce(F.col("_n") == 1, F.lit(False))
-    rows = regions.join(counts, REGION, "left")
+    rows = regions.join(counts.hint("merge"), REGION, "left")
     return rows.withColumns({"single_line": one, "elem_height": F.when(one, F.col("elem_height") * 1.5).otherwise(F.col("elem_height"))}).drop("_n")
 
 
@@ -169,13 +169,13 @@ def dilate_words(words: DataFrame, ratio: float = 1.1, vertical: bool = True) ->
 def words_on_page(words: DataFrame, lines: DataFrame) -> DataFrame:
     """Words with page boxes (gx0..): the line's page corner added."""
     corners = lines.select(*LINE, F.col("gx0").alias("_x"), F.col("gy0").alias("_y"))
-    return words.join(corners, LINE).withColumns(Box.of().shifted(F.col("_x"), F.col("_y")).named("g")).drop("_x", "_y")
+    return words.join(corners.hint("merge"), LINE).withColumns(Box.of().shifted(F.col("_x"), F.col("_y")).named("g")).drop("_x", "_y")
 
 
 def region_words_on_page(words: DataFrame, regions: DataFrame) -> DataFrame:
     """Words found in region crops without lines: page boxes, also as x, y, w, h."""
     known = regions.select(*REGION, "px0", "py0", "px1", "py1", "pad_top")
-    rows = words.join(known, REGION)
+    rows = words.join(known.hint("merge"), REGION)
     g = to_page(Box.of(), Box.of("p"), F.col("pad_top"))
     return rows.withColumns(g.named("g")).withColumns({"gx": F.col("gx0"), "gy": F.col("gy0"), "gw": F.col("gx1") - F.col("gx0"), "gh": F.col("gy1") - F.col("gy0")})
 

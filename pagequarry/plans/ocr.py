@@ -44,7 +44,7 @@ def regions_of(images: DataFrame, models: Models) -> DataFrame:
     found = layout.pixel_boxes(layout.project_regions(inference.detect_layout(images, models.layout)))
     kept = layout.suppress_overlaps(found, ("px0", "py0", "px1", "py1"))
     extension = images.select("image_id", "ext") if "ext" in images.columns else images.select("image_id", F.lit("png").alias("ext"))
-    return layout.image_sources(kept.join(extension, "image_id"), F.col("image_id"), F.col("ext")).drop("ext")
+    return layout.image_sources(kept.join(extension.hint("merge"), "image_id"), F.col("image_id"), F.col("ext")).drop("ext")
 
 
 def boxes(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
@@ -60,13 +60,13 @@ def read_pages(images: DataFrame, models: Models = Models()) -> Reading:
     lines = layout.nonempty_crops(layout.apply_dilations(layout.dilate_lines_horizontally(layout.dilate_lines_vertically(lines))))
     line_crops = inference.crop_images(lines, crops, LINE, on=("image_id", "region_idx"))
     words = layout.word_boxes(inference.detect_words(line_crops, models.words))
-    words = layout.dilate_words(words.join(line_crops.select(*LINE, F.col("height").alias("line_h"), F.col("width").alias("line_w")), LINE))
+    words = layout.dilate_words(words.join(line_crops.select(*LINE, F.col("height").alias("line_h"), F.col("width").alias("line_w")).hint("merge"), LINE))
     word_crops = inference.crop_images(boxes(words.where("crop_ok"), "c", WORD), line_crops, WORD, on=("image_id", "region_idx", "line_idx"))
     texts = inference.recognise(word_crops, models.recogniser, normalise=normalised_word)
-    words = layout.words_on_page(words, lines).join(texts, WORD, "left").withColumn("text", F.coalesce("text", F.lit("")))
-    written = regions.drop("text").join(layout.region_texts(words).withColumnRenamed("region_text", "text"), REGION, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    words = layout.words_on_page(words, lines).join(texts.hint("merge"), WORD, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    written = regions.drop("text").join(layout.region_texts(words).withColumnRenamed("region_text", "text").hint("merge"), REGION, "left").withColumn("text", F.coalesce("text", F.lit("")))
     pictures = regions.where(F.col("class") == "image")
-    pictures = inference.crop_images(boxes(pictures, "p", REGION), images, REGION).join(pictures.select(*REGION, "img_src"), REGION)
+    pictures = inference.crop_images(boxes(pictures, "p", REGION), images, REGION).join(pictures.select(*REGION, "img_src").hint("merge"), REGION)
     return Reading(layout.single_lines(written, lines), lines, words, pictures, images.select("image_id"))
 
 
@@ -78,4 +78,4 @@ def read_regions(images: DataFrame, models: Models = Models()) -> DataFrame:
     words = layout.region_words_on_page(quads.withColumns(layout.word_box("quad").named()), text)
     cut = inference.rotated_crops(quads, crops, [*REGION, "word_idx"], on=("image_id", "region_idx"))
     texts = inference.recognise(cut, models.recogniser, normalise=normalised_word)
-    return words.join(texts, [*REGION, "word_idx"])
+    return words.join(texts.hint("merge"), [*REGION, "word_idx"])

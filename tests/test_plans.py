@@ -6,12 +6,13 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagequarry import schemas
 from pagequarry.functions.text import VOCABULARY
 from pagequarry.operators import inference, pixels
-from pagequarry.plans import evaluation, ocr
+from pagequarry.plans import catalog, evaluation, ocr
 from pagequarry.sources import files, sinks
 from pagequarry.streaming import pages as streams
 
@@ -41,6 +42,12 @@ def test_pages_are_read(spark):
     assert len(flat) == 1 and (flat[0].gx, flat[0].gw) == (10, 50)  # without lines, columns of both lines are one word
 
 
+@pytest.mark.parametrize("name", ["recognize_stub", "read_pages_html", "recognize_without_lines"])
+def test_pixels_and_boxes_are_not_broadcast(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pixels():
     fitted, mask = pixels.fit(np.zeros((20, 60, 3), dtype=np.uint8))
     assert fitted.shape == (32, 256, 3) and mask == 96 and (fitted[:, 96:] == 255).all() and (fitted[:, :96] == 0).all()
