@@ -6,13 +6,14 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pagequarry import schemas
 from pagequarry.functions.text import VOCABULARY
 from pagequarry.operators import inference, pixels
-from pagequarry.plans import catalog, evaluation, ocr
+from pagequarry.plans import catalog, evaluation, ocr, synthetic
 from pagequarry.sources import files, sinks
 from pagequarry.streaming import pages as streams
 
@@ -48,6 +49,19 @@ def test_pixels_and_boxes_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_pages_are_drawn_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(synthetic, "table", lambda spark, *_: spark.range(1, 1001, numPartitions=1).withColumnRenamed("id", "s_suppkey"))
+    drawn = []
+
+    def keep(self, f, schema):
+        drawn.extend(len(x) for x in f(iter([pd.DataFrame({"s_suppkey": range(1000)})])))
+        return self.select(F.lit(0).alias("image_id"))
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", keep)
+    synthetic.stub_images(spark, "")
+    assert sum(drawn) == 1000 and max(drawn) <= synthetic.PAGES
+
+
 def test_pixels():
     fitted, mask = pixels.fit(np.zeros((20, 60, 3), dtype=np.uint8))
     assert fitted.shape == (32, 256, 3) and mask == 96 and (fitted[:, 96:] == 255).all() and (fitted[:, :96] == 0).all()
