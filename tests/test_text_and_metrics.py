@@ -84,6 +84,30 @@ def test_greedy_matches_equal_the_loop(spark):
     assert all(found[k] == greedy(case, 8) for k, case in enumerate(cases))
 
 
+def test_word_matches_equal_candidates_and_greedy_choice(spark):
+    r = random.Random(6)
+
+    def words(n, idx):
+        rows = []
+        for k in range(n):
+            x, y = r.randint(-80, 120), r.choice([-10, 0, 60, 130])
+            box = [float(x), float(y), float(x + r.choice([20, 30, 90])), float(y + r.choice([10, 12]))]
+            rows.append((r.choice("ab"), r.choice([0, 1]), k, *(box[2:] + box[:2] if k % 9 == 8 else box), f"{idx}{k}"))
+        return spark.createDataFrame(rows + [("a", 0, n, None, 0.0, 1.0, 1.0, "null"), (f"only {idx}", 0, 0, 0.0, 0.0, 9.0, 9.0, "x")], f"image_id string, gt_idx int, {idx} int, x0 double, y0 double, x1 double, y1 double, text string")
+
+    pred, gt = words(150, "pred_word_idx"), words(120, "gt_word_idx")
+    found = matching.word_matches(pred, gt, texts=True).collect()
+    assert len(found) == 122
+    keys = ["image_id", "gt_idx"]
+    candidates = matching.match_candidates(pred, gt)
+    by_gt = {(m.image_id, m.gt_idx, m.gt_word_idx): (m.pred_word_idx, m.iou) for m in matching.greedy_matches(candidates, "gt_word_idx", "pred_word_idx", keys).collect()}
+    by_pred = {(m.image_id, m.gt_idx, m.gt_word_idx): (m.pred_word_idx, m.iou) for m in matching.greedy_matches(candidates, "pred_word_idx", "gt_word_idx", keys).collect()}
+    assert len(by_gt) > 20 and by_gt != by_pred
+    assert {(m.image_id, m.gt_idx, m.gt_word_idx): (m.pred_word_idx, m.iou) for m in found if m.iou is not None} == by_gt
+    assert {(m.image_id, m.gt_idx, m.gt_word_idx): (m.by_pred, m.by_pred_iou) for m in found if m.by_pred_iou is not None} == by_pred
+    assert all(m.pred_text == (None if m.iou is None else f"pred_word_idx{m.pred_word_idx}") for m in found)
+
+
 def test_metrics_v1(spark):
     scores = spark.createDataFrame([("a", 0.0, True), ("a", 0.0, True), ("a", 1.0, False), ("a", 1.0, False)], "image_id string, cer double, correct boolean")
     matched = spark.createDataFrame([("a", 3)], "image_id string, matched long")
