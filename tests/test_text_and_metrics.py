@@ -47,6 +47,26 @@ def test_wer_equals_textbook_distance(spark):
     assert text.word_edits("the cat sat", "the cat sat on mat") == 2
 
 
+def test_edits_equal_the_table_and_take_long_texts(spark):
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, u in enumerate(a, 1):
+            diagonal, row[0] = row[0], i
+            for j, v in enumerate(b, 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (u != v))
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(400):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 90))) for _ in range(2))
+        assert text.edits(a, b) == table(a, b) and text.edits(list(a), list(b)) == table(a, b)
+    # more distinct words than one string of codes held, and texts for which a table of cells takes minutes
+    long = [str(k) for k in range(25_000)]
+    df = spark.createDataFrame([(" ".join(long), " ".join(["x", *long[:-2]])), (None, "a"), ("", "a")], "r string, h string")
+    rows = df.select(text.document_wer(F.col("r"), F.col("h")).alias("w"), text.document_cer(F.col("r"), F.col("h")).alias("c")).collect()
+    assert rows[0].w == 3 / 25_000 and rows[0].c is not None and [tuple(x) for x in rows[1:]] == [(None, None)] * 2
+
+
 def test_permutation(spark):
     assert text.permutation(5) == [0, 1, 3, 2, 4]
     assert spark.range(1).select(text.permutation_of(F.lit(5)).alias("p")).first()["p"] == [0, 1, 3, 2, 4]
