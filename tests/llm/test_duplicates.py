@@ -368,6 +368,35 @@ def test_boilerplate_corpus_against_all_pairs(spark):
         assert len(wanted - covered) <= 0.005 * len(wanted)
 
 
+def test_every_two_of_some_holders_are_linked(spark):
+    """Edited passages of 14 holders: all 91 pairs, not a path through them."""
+    r = random.Random(23)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, texts = some(70), []
+    for i in range(14):
+        copy = list(passage)
+        for at in r.sample(range(1, 69), 5):
+            copy[at] = f"new{i}x{at}"
+        texts.append(some(r.randrange(20, 60)) + copy + some(r.randrange(20, 60)))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for parts in (1, 8):
+        got = {frozenset((x.doc_id, x.other_id)) for x in passages.shared_passages(df.repartition(parts)).collect()}
+        assert got == {frozenset((i, j)) for i in range(14) for j in range(i)}
+
+
+def test_a_passage_of_50_words_is_found_among_many_holders_of_49(spark):
+    r = random.Random(24)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = some(50)
+    texts = [some(20) + passage[k % 2 : k % 2 + 49] + some(20) for k in range(200)]
+    for i in (40, 160):
+        texts[i] = some(20) + passage + some(20)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for parts in (1, 4, 16):
+        got = passages.shared_passages(df.repartition(parts)).collect()
+        assert frozenset((40, 160)) in {frozenset((x.doc_id, x.other_id)) for x in got}  # a few of 49 words have neighbours of one 16-bit hash
+
+
 def test_gap_alignment():
     assert passages.matched([1, 2, 3, 4], [1, 9, 3, 4]) == 3
     assert passages.matched([], [1]) == 0 and passages.matched([1, 2], [1, 5, 2]) == 2
