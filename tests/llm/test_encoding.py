@@ -206,3 +206,15 @@ def test_archive_query(spark):
     d = shared_dir(spark, "w")
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, d, warc.write_archives(empty, d)).count() == 0
+
+
+def test_many_texts_are_decoded_at_once():
+    import pyarrow as pa
+    from pagequarry.llm import bpe
+
+    encoder, split, tokens = bpe.coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["", "two  words\n", None, "中ć 12's", ""]
+    ids = [bpe.encode_text(t, encoder, split) for t in texts]
+    by_id = pa.array(tokens, pa.large_binary())
+    assert bpe.decoded(ids, by_id) == [(t or "").encode() for t in texts]
+    assert bpe.decoded([], by_id) == [] and bpe.decoded([b""], by_id) == [b""]
