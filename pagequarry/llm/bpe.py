@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pagequarry.llm._common import table, tokenizer_path, with_columns
+from pagequarry.llm._common import only, table, tokenizer_path, with_columns
 
 #: Letters, numbers and white space among the code points below U+0250.
 LOW_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -274,6 +274,7 @@ def encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: st
     fields = [(ids_col, T.BinaryType(), pa.binary())] + [(decoded_col, T.BinaryType(), pa.binary())] * bool(decoded_col)
 
     def make():
+        only("bpe", coder.cache_clear)
         encoder, split, tokens = coder(tokenizer_path(vocabulary), pattern)
         by_id = pa.array(tokens, pa.large_binary())
 

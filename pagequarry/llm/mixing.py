@@ -98,12 +98,12 @@ def residual(cells: DataFrame, names: list[str]) -> float:
     return max(far) / (tokens or 1.0)
 
 
-def raked(cells: DataFrame, margins=MARGINS, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
-    """cells (the margins' columns, tokens) with `weight`, whose sums by margin meet the targets; with a tolerance, rounds end once `residual` is within it."""
+def raked(cells: DataFrame, margins=MARGINS, rounds: int = ROUNDS, tolerance: float | None = None, rows: int | None = None) -> DataFrame:
+    """cells (the margins' columns, tokens) with `weight`, whose sums by margin meet the targets; with a tolerance, rounds end once `residual` is within it. rows: how many cells, if known."""
     names = [name for name, _ in margins]
     out = with_goals(cells, margins).withColumn("weight", F.col("tokens"))
     for _ in range(rounds):  # a table each: within a round the sums of a margin need the one before
-        out = materialised(one_round(out, names), "cells")
+        out = materialised(one_round(out, names), "cells", rows)
         if tolerance is not None and residual(out, names) <= tolerance:
             break
     return out.drop(*(f"_{name}" for name in names))
@@ -130,7 +130,8 @@ def cell_table(features: DataFrame, keys: list[str]) -> DataFrame:
 def probabilities(features: DataFrame, margins=MARGINS, rounds: int = ROUNDS, budget: float = BUDGET, tolerance: float | None = None) -> DataFrame:
     """(the margins' columns, tokens, docs, weight, p) for every cell of features (the margins' columns, tokens)."""
     cells = materialised(cell_table(features, [name for name, _ in margins]), "cells")
-    return materialised(calibrated(raked(cells, margins, rounds, tolerance), budget), "cells")
+    n = cells.count()
+    return materialised(calibrated(raked(cells, margins, rounds, tolerance, n), budget), "cells", n)
 
 
 def featured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagequarry.llm._common import bounded_batches, materialised, slices
+from pagequarry.llm._common import bounded_batches, materialised, only, slices
 from pagequarry.llm.simhash import BYTE_BITS, components, planes_of, within
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -70,6 +70,7 @@ def printed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
     """From (id, text): (id, fp, bands, sim, words)."""
     import xxhash
 
+    only("near")
     for batch in batches:
         for lo, hi in slices(batch.column(1)):
             fp, bands, sim, words = [], [], [], []
@@ -258,22 +259,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = materialised(texts.mapInArrow(lambda batches: printed(batches, shingle), "id long, fp long, bands binary, sim long, words binary"), "prints")
-    classes = materialised(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("bands").alias("bands"), F.min("sim").alias("sim")), "classes")
+    n = prints.count()
+    classes = materialised(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("bands").alias("bands"), F.min("sim").alias("sim")), "classes", n)
     keys = classes.select("fp", "bands", "sim").mapInArrow(banded, "key long, fp long, sim long")
-    blocks = materialised(keys.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, fp long, sim long"), "blocks")
+    blocks = materialised(keys.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, fp long, sim long"), "blocks", n)
     first = prints.join(classes.select("fp", "first_id"), "fp").where(F.col("id").eqNullSafe(F.col("first_id")))
-    sets = materialised(first.join(blocks.select("fp").distinct(), "fp", "left_semi").select("fp", "words").dropDuplicates(["fp"]), "sets")
+    sets = materialised(first.join(blocks.select("fp").distinct(), "fp", "left_semi").select("fp", "words").dropDuplicates(["fp"]), "sets", n)
     x, y = sets.select(F.col("fp").alias("a"), F.col("words").alias("x")), sets.select(F.col("fp").alias("b"), F.col("words").alias("y"))
-    found = materialised(blocks.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(candidates_of, "a long, b long, key long"), "candidates")
+    found = materialised(blocks.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(candidates_of, "a long, b long, key long"), "candidates", n)
     pairs = found.where("a IS NOT NULL").select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    links = materialised(pairs.mapInArrow(partial(similar, similarity=similarity), "a long, b long"), "near")
+    links = materialised(pairs.mapInArrow(partial(similar, similarity=similarity), "a long, b long"), "near", n)
     large = found.where("key IS NOT NULL").select("key").distinct()
-    roots = materialised(components(links), "roots").withColumnRenamed("node", "fp")
+    roots = materialised(components(links, n), "roots", n).withColumnRenamed("node", "fp")
     rows = blocks.join(large, "key", "left_semi").join(roots, "fp", "left").select("key", "fp", "sim", F.coalesce("root", "fp").alias("root")).join(sets, "fp")
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     rows = rows.join(mixed, "key", "left_semi").select("key", "fp", "sim", "root", "words").repartition("key").sortWithinPartitions("key", "fp")
-    more = materialised(rows.mapInArrow(partial(links_in_blocks, similarity=similarity), "a long, b long"), "near")
-    roots = components(links.union(more)).withColumnRenamed("node", "fp")
-    rooted = materialised(classes.select("fp", "first_id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    more = materialised(rows.mapInArrow(partial(links_in_blocks, similarity=similarity), "a long, b long"), "near", n)
+    roots = components(links.union(more), n).withColumnRenamed("node", "fp")
+    rooted = materialised(classes.select("fp", "first_id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted", n)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.select("id", "fp").join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "component_id")

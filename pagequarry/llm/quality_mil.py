@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pagequarry.llm._common import table, with_columns
+from pagequarry.llm._common import only, table, with_columns
 
 PASSAGE = 64
 #: Most labelled documents that the net is fitted on.
@@ -209,6 +209,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picks), F.col("_id") == F.col("_pick")).select("_id", "_target", "_text")
 
     def make():
+        only("quality_mil", known_words.cache_clear)
         words = known_words()
         return lambda texts: [[b.astype("<f4").tobytes() for b in encode_texts(texts, words)]]
 
@@ -226,6 +227,7 @@ def score(docs: DataFrame, model: GatedAttention, text_col: str = "text", out: s
     """docs with the score of every whole text."""
 
     def make():
+        only("quality_mil", known_words.cache_clear)
         words = known_words()
         return lambda texts: [model.score(encode_texts(texts, words)) if texts else []]
 

@@ -292,13 +292,13 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 # components -------------------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of its component, for every node of edges (a > b)."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root): the least node of its component, for every node of edges (a > b); rows: about so many rows they were found among."""
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    current = materialised(edges, "links")
+    current = materialised(edges, "links", rows)
     before = state(current)
     while before[0]:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -307,7 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        current = materialised(small.where("a > b").distinct(), "links")
+        current = materialised(small.where("a > b").distinct(), "links", before[0])
         after = state(current)
         if after == before:
             break
@@ -319,10 +319,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component_id, n_links_class) rows: df's rows with fingerprint and the least id of their component."""
     prints = materialised(fingerprints(df.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col, "fp", shingle).drop(text_col), "prints")
-    classes = materialised(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")), "classes")
-    found = components(links(classes.select("fp"), radius))
+    n = prints.count()
+    classes = materialised(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies")), "classes", n)
+    found = components(links(classes.select("fp"), radius), n)
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialised(rooted, "rooted")
+    rooted = materialised(rooted, "rooted", n)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from pagequarry.llm import ann, near, passages, simhash
+from pagequarry.llm import _common, ann, bpe, near, passages, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -500,3 +500,20 @@ def test_graph_search_meets_the_nearest():
     graph = ann.Graph(r.standard_normal((200, 16)))
     x = r.standard_normal((100, 16))
     assert (graph.search(x).argmin(1) == ann.squared(x, graph.c).argmin(1)).mean() > 0.95
+
+
+def test_few_rows_are_written_by_few_tasks(spark):
+    few = _common.materialised(spark.range(0, 1000, 1, 60), "few", 1000)
+    assert len(few.inputFiles()) <= _common.FEW_TASKS and few.count() == 1000 and few.agg(F.sum("id")).first()[0] == 499_500
+    many = _common.materialised(spark.range(0, 1000, 1, 60), "many", 61 * _common.TASK_ROWS)
+    assert len(many.inputFiles()) == 60 and many.count() == 1000
+
+
+def test_a_worker_remembers_one_operator_at_a_time():
+    import pyarrow as pa
+
+    bpe.coder(_common.tokenizer_path("byte_bpe_50k.tiktoken"), bpe.standard_pattern())
+    _common.only("bpe", bpe.coder.cache_clear)
+    assert bpe.coder.cache_info().currsize == 1
+    list(near.printed(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"])], names=["id", "text"])]), 5))
+    assert bpe.coder.cache_info().currsize == 0
