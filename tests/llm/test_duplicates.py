@@ -517,3 +517,30 @@ def test_a_worker_remembers_one_operator_at_a_time():
     assert bpe.coder.cache_info().currsize == 1
     list(near.printed(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"])], names=["id", "text"])]), 5))
     assert bpe.coder.cache_info().currsize == 0
+
+
+def test_links_travel_packed_by_pair(monkeypatch):
+    """Every link comes back, with its pair and by place; links of one pair take less than half their 24 bytes."""
+    r = np.random.default_rng(5)
+    doc, other = (r.integers(-(1 << 63), 1 << 63, 300)[r.integers(0, 300, 40_000)] for _ in range(2))
+    other = np.where(r.random(40_000) < 0.5, other, doc // 3)
+    pos, other_pos = r.integers(0, 500, 40_000).astype(np.int32), r.integers(0, 1 << 22, 40_000).astype(np.int32)
+    other_pos[:20_000] %= 500
+    wanted = sorted(zip(doc.tolist(), other.tolist(), passages.places(pos, other_pos).tolist(), strict=True))
+    plain = passages.pair_keys
+    for limit, buckets, keys in ((passages.SORTED_LINKS, 7, plain), (999, 1, plain), (999, 5, lambda d, o: plain(d, o) >> np.uint64(60) << np.uint64(60))):
+        monkeypatch.setattr(passages, "SORTED_LINKS", limit)
+        monkeypatch.setattr(passages, "pair_keys", keys)
+        got, closed = [], set()
+        for batch in passages.by_pair(passages.packed_links(doc, other, pos, other_pos, buckets), buckets):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not got or got[-1][:2] != row[:2]:
+                    assert row[:2] not in closed
+                    closed.add(row[:2])
+                else:
+                    assert got[-1][2] <= row[2]
+                got.append(row)
+        assert sorted(got) == wanted
+    many = np.repeat(np.arange(100), 200)
+    blobs = [x for b in passages.packed_links(many, many + 1, np.tile(np.arange(200, dtype=np.int32), 100), np.tile(np.arange(200, dtype=np.int32), 100), 1) for x in b.column(2).to_pylist()]
+    assert sum(map(len, blobs)) < 12 * len(many)
