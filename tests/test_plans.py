@@ -150,3 +150,37 @@ def test_stage_timer(spark):
             spark.range(10).count()
     total = evaluation.corpus_timings(timer.frame(spark)).first()
     assert total.image_id == "r" and abs(total.full_pipeline - sum(r[2] for r in timer.rows)) < 1e-9
+
+
+def test_pages_hold_the_words_regions_of_the_views(spark, tmp_path):
+    """Pages cut at any size, null and repeated ids, odd white space: the rows of the SQL; queries of matches move texts only, in one pass."""
+    from pagequarry.plans import catalog, synthetic as S
+    from tests.oracle import connect, spark_rows, sql_rows
+
+    text = "one  two\n\n three e e e e e four\r five six ab\U0001f600c\n" * 9
+    docs = [(k, t) for k, t in enumerate([text, None, "", " \n ", "x", "é" * 40, "a\n" * 60, text[::-1]])] + [(None, "lost words"), (40, "same words same words"), (40, "same words same words")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    pieces = [(i, t) for i, t in docs if i is not None and i < 40]
+    spark.createDataFrame(pieces, "doc_id long, text string").write.parquet(f"{tmp_path}/once/documents.parquet")
+    spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(f"{tmp_path}/once/supplier.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/once/{t}.parquet/*.parquet'")
+    for name in ("greedy_pred_pivot", "greedy_gt_pivot", "word_scores", "metrics_v1", "metrics_v1_summary"):
+        assert spark_rows(catalog.QUERIES[name](spark, f"{tmp_path}/once")) == sql_rows(con, catalog.ORACLE_SQL[name]), name
+        plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "CoGroup" not in plan
+    rows = catalog.QUERIES["metrics_v1"](spark, str(tmp_path)).collect()
+    assert len(rows) == 11  # eight texts, one id twice, none, one supplier
+    whole = list(S.pages(iter([pa_batch(docs)])))
+    assert sum(len(p.gt_words.image) for p in whole) == len(S.words(spark, str(tmp_path)).where("image_id IS NOT NULL").collect())
+
+
+def pa_batch(docs):
+    import pyarrow as pa
+
+    docs = sorted(((str(i), t or "") for i, t in docs if i is not None))
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["image_id", "t"])

@@ -162,3 +162,69 @@ def test_html(spark):
     rows = spark.createDataFrame([("p", 1, "image", "", "./img/p_1.png"), ("p", 0, "paragraph", "a<b & c", None), ("p", 2, "table", "x", None)], "image_id string, region_idx int, class string, text string, img_src string")
     page = html.documents(rows.withColumns({c: F.lit(1) for c in ("top", "left", "elem_height", "elem_width")})).first().html
     assert page.index("a&lt;b &amp; c") < page.index("./img/p_1.png") and ">x<" not in page
+
+
+def test_page_matches_equal_the_table_operators(spark):
+    """Odd boxes, words of several regions, crowded places and images that only one side has."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(9)
+    images = ["a", "b", "c", "only truth", "only found"]
+
+    def boxes(n, *index, images=images[:3], text=False):
+        rows = {}
+        while len(rows) < n:
+            x, y, w, h = r.randrange(-90, 90, 3), r.choice([-10, 0, 7, 60]), *((r.choice([30, 40]), r.choice([0, 10, 12])) if text else (r.choice([90, 200]), r.choice([20, 80])))
+            box = (x, y, x + w, y + h) if r.random() < 0.9 else (x + w, y + h, x, y)
+            box = tuple(float(v) for v in box) if r.random() < 0.97 else (None, 0.0, 1.0, 1.0)
+            rows.setdefault((r.choice(images), *(r.randrange(i) for i in index)), box)
+        return [(*k, *b, *([r.choice(["!%", "!&", "", "ab", "ক", "ক‍", " #", "ড়"])] if text else [])) for k, b in rows.items()]
+
+    table = {"gt_regions": boxes(30, 40, images=images[:4]), "gt_words": boxes(420, 900, images=images[:4], text=True)}
+    table |= {"pred_regions": boxes(40, 40, images=[*images[:3], "only found"]), "pred_words": boxes(900, 40, 5, 20, text=True)}
+    index = {"gt_regions": ["gt_idx"], "gt_words": ["word_pos"], "pred_regions": ["pred_idx"], "pred_words": ["pred_idx", "line_idx", "word_idx"]}
+    corners = ["x0", "y0", "x1", "y1"]
+
+    def frame(name):
+        columns = ["image_id string", *(f"{c} int" for c in index[name]), *(f"{c} double" for c in corners), *(["text string"] if "words" in name else [])]
+        return spark.createDataFrame(table[name], ", ".join(columns))
+
+    def arrays(name):
+        rows, n = table[name], len(index[name])
+        numbers = np.array([row[1 : 1 + n] for row in rows])
+        box = np.array([row[1 + n : 5 + n] for row in rows], dtype=float)
+        return matching.Boxes(np.array([images.index(row[0]) for row in rows]), numbers if n > 1 else numbers[:, 0], box, pa.array([row[-1] for row in rows]) if "words" in name else None)
+
+    t = {name: frame(name) for name in table}
+    superbox = matching.superboxes(matching.best_regions(t["pred_regions"], t["gt_regions"]), t["gt_regions"])
+    pred, gt = matching.merged_words(t["pred_words"], superbox), matching.words_in_regions(t["gt_words"], t["gt_regions"])
+    expected = matching.word_matches(pred, gt, texts=True)
+    rows = {(x.image_id, x.gt_idx, x.gt_word_idx): (x.pred_word_idx, x.iou, x.by_pred, x.by_pred_iou) for x in expected.collect()}
+    pages = matching.Pages(pa.array(images), *(arrays(name) for name in table))
+    m = matching.page_matches(pages)
+    number = lambda at: None if at < 0 else int(m.pred_word_idx[at])
+    found = {
+        (images[i], int(g), int(k)): (number(a), x if a >= 0 else None, number(b), y if b >= 0 else None)
+        for i, g, k, a, x, b, y in zip(m.image, m.gt_idx, m.gt_word_idx, m.by_gt, m.by_gt_iou, m.by_pred, m.by_pred_iou, strict=True)
+    }
+    assert found == rows and sum(x[0] is not None for x in rows.values()) > 10 and any(x[0] != x[2] for x in rows.values())
+    scores = {(x.image_id, x.dla_box_idx, x.gt_word_idx): (x.gt_word, x.pred_word, x.cer, x.lev, x.correct) for x in metrics.scored_words(expected).collect()}
+    columns = metrics.page_scores(pages, m)
+    mine = zip(m.image, m.gt_idx, m.gt_word_idx, columns["gt_word"].to_pylist(), columns["pred_word"].to_pylist(), columns["cer"], columns["lev"], columns["correct"], strict=True)
+    assert {(images[i], int(g), int(k)): tuple(x) for i, g, k, *x in mine if x[0] is not None} == scores
+    sums = {x.image_id: tuple(x[1:]) for x in metrics.image_sums(expected).collect()}
+    for row in metrics.page_sums(pages, m).to_pylist():
+        n, cer, correct, matched = sums.get(row["image_id"], (None, None, 0, None))
+        assert (row["n"], row["correct"], row["matched"]) == (n, correct, matched) and abs((row["cer"] or 0) - (cer or 0)) < 1e-9
+
+
+def test_greedy_rows_equal_the_loop():
+    import numpy as np
+
+    r = random.Random(11)
+    for _ in range(300):
+        rows = list({(r.randrange(6), r.randrange(6)): r.choice([0.6, 0.7, 0.8]) for _ in range(r.randint(0, 14))}.items())
+        pivot, other, ratio = (np.array(x) for x in ([p for (p, _), _ in rows], [o for (_, o), _ in rows], [x for _, x in rows]))
+        kept = {rows[i][0] for i in matching.greedy_rows(pivot, other, ratio)}
+        assert kept == set(greedy([(p, o, x) for (p, o), x in rows], 6).items())
